@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactlake import fixed_values as V
 from contactlake.functions.phone import RU, NumberingPlan
 from contactlake.functions.url import host, path_of
 from contactlake.operators.contacts import crawl_results
@@ -12,6 +13,7 @@ from contactlake.operators.html import page_contacts
 from contactlake.operators.leads import build_leads, dedupe_leads, fill_from_catalogs
 from contactlake.operators.links import page_budget, visit_order
 from contactlake.plans.candidates import candidate_job
+from contactlake.session import stage
 
 
 def planned_visits(pages: DataFrame, depth: int = 2) -> DataFrame:
@@ -42,14 +44,33 @@ def lead_job(candidates: DataFrame, visits: DataFrame, policy: Column | str = "b
     return build_leads(candidates, crawl_results(parsed), policy, plan, region_names)
 
 
+def catalog_pages(hits: DataFrame, pages: DataFrame, plan: NumberingPlan = RU,
+                  domains=V.CATALOG_DOMAINS) -> DataFrame:
+    """Parsed catalogue pages per brief that hold a number: brief_id, url, body, contacts."""
+    urls = catalog_urls(hits, domains).select("brief_id", "url")
+    named = pages.select("url", "html").join(urls.select("url").distinct(), "url", "left_semi")
+    parsed = page_contacts(named, plan).where(F.size("contacts") > 0)
+    return urls.join(parsed.select("url", "body", "contacts"), "url")
+
+
+def finish_run(chosen: DataFrame, hits: DataFrame, pages: DataFrame, visits: DataFrame,
+               policy: Column | str = "business", plan: NumberingPlan = RU,
+               catalog_domains=V.CATALOG_DOMAINS, region_names=None) -> DataFrame:
+    """Chosen candidates -> deduplicated lead rows.
+
+    Every page is parsed once.  The results of each phase are small (at most 200 rows per
+    brief, plus catalogue pages with a number) but are read several times by the next, so
+    they are staged in the shared folder; a lost executor repeats one phase only.
+    """
+    picked = stage(chosen.select("brief_id", "ord", "domain", "title", "snippet", "engines", "queries"))
+    leads = stage(lead_job(picked, visits, policy, plan, region_names))
+    catalogs = stage(catalog_pages(hits, pages, plan, catalog_domains))
+    return dedupe_leads(stage(fill_from_catalogs(leads, catalogs, policy, plan)))
+
+
 def full_run(hits: DataFrame, params: DataFrame, pages: DataFrame, visits: DataFrame | None = None,
              live: DataFrame | None = None, policy: Column | str = "business", plan: NumberingPlan = RU,
-             catalog_domains=None, region_names=None, **relevance) -> DataFrame:
+             **relevance) -> DataFrame:
     """Hits, briefs and pages -> deduplicated lead rows of every brief."""
     chosen = candidate_job(hits, params, live, **relevance).chosen
-    leads = lead_job(chosen, planned_visits(pages) if visits is None else visits, policy, plan, region_names)
-    urls = catalog_urls(hits, catalog_domains) if catalog_domains else catalog_urls(hits)
-    parsed = page_contacts(
-        pages.select("url", "html").join(urls.select("url").distinct(), "url", "left_semi"), plan)
-    catalogs = urls.select("brief_id", "url").join(parsed.select("url", "body", "contacts"), "url")
-    return dedupe_leads(fill_from_catalogs(leads, catalogs, policy, plan))
+    return finish_run(chosen, hits, pages, planned_visits(pages) if visits is None else visits, policy, plan)

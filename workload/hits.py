@@ -18,7 +18,7 @@ from contactlake.operators.hits import (
     catalog_urls, first_hits, group_by_domain, hit_stats, probe_counts, query_errors, reject_counts, union_hits,
     with_reject_reason, cut_candidates,
 )
-from contactlake.sources.readers import dimension, domain_lexicon, read_hits, regions
+from contactlake.sources.readers import dimension, read_hits
 from workload import common as W
 from workload.common import (
     FIRST_SQL, GROUPED_SQL, HITS_SQL, contains_any_sql, documents, hits, host_sql, in_domains_sql, pages, q, table,
@@ -66,11 +66,11 @@ def live(spark, sf_dir):
     return p.groupBy("url").agg(F.bool_or(C.is_alive(F.lit(None).cast("int"), F.col("html"))).alias("alive"))
 
 
-def chosen(spark, sf_dir):
+def chosen(spark, sf_dir, max_sites=MAX_SITES):
     kept = judged(spark, sf_dir).where(F.col("reject_reason").isNull())
     kept = kept.join(live(spark, sf_dir).withColumnRenamed("url", "first_url"), "first_url", "left").withColumn(
         "alive", F.coalesce("alive", F.lit(False)))
-    return cut_candidates(kept, F.lit(MAX_SITES), F.col("brief_id") != "de")
+    return cut_candidates(kept, F.lit(max_sites), F.col("brief_id") != "de")
 
 
 def q_hits_from_xml(spark, sf_dir):
@@ -264,15 +264,6 @@ def q_hit_blob(spark, sf_dir):
     return hits(spark, sf_dir).select("pos", F.md5(hit_blob(c("title"), c("snippet"), queries=F.array("query", "engine"))).alias("blob"))
 
 
-def q_dimensions(spark, sf_dir):
-    """Hits per listed domain, and hits naming a region, over the packaged dimensions."""
-    h = hits(spark, sf_dir).select("pos", "domain", F.lower("snippet").alias("text"))
-    listed = domain_lexicon(spark).where("kind = 'junk'").select("domain").distinct()
-    flagged = C.flag_domains(h, "domain", listed, "junk_listed")
-    named = regions(spark).agg(F.count("*").alias("n_regions"), F.count_distinct("district_id").alias("n_districts"))
-    return flagged.groupBy("junk_listed").agg(F.count("*").alias("n")).join(F.broadcast(named), F.lit(True))
-
-
 QUERIES = {f.__name__: f for f in (
     q_hits_from_xml, q_hits_first_capped, q_hits_by_domain, q_hit_stats, q_query_errors, q_hits_union,
     q_domain_class, q_catalog_domains, q_junk, q_relevance, q_region_detect, q_region_filter, q_reject_reasons,
@@ -338,17 +329,21 @@ JUDGED = f"""{BASE}, judged AS (
   FROM grouped)"""
 _START = "lower(substring(html, 1, 3000))"
 ALIVE = f"(length(html) >= 200 AND NOT {contains_any_sql(_START, V.PARKING_PHRASES)})"
-CHOSEN = f"""{JUDGED},
+def chosen_sql(max_sites):
+    return f"""{JUDGED},
 live AS (SELECT url, bool_or({ALIVE}) AS alive FROM pages GROUP BY url),
 kept AS (SELECT j.*, coalesce(l.alive, false) AS alive,
            row_number() OVER (PARTITION BY brief_id ORDER BY len(queries) DESC, domain) AS rank
          FROM judged j LEFT JOIN live l ON l.url = j.first_url WHERE reject_reason IS NULL),
-lim AS (SELECT greatest({MAX_SITES} + 20, CAST(floor({MAX_SITES} * 1.4) AS INTEGER)) AS w),
+lim AS (SELECT greatest({max_sites} + 20, CAST(floor({max_sites} * 1.4) AS INTEGER)) AS w),
 tiers AS (SELECT kept.*, brief_id <> 'de' AND rank <= w AS in_probe,
             CASE WHEN brief_id = 'de' OR (rank <= w AND alive) THEN 0 WHEN rank > w THEN 1 END AS tier
           FROM kept, lim),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY tier, rank) AS pick
-                          FROM tiers WHERE tier IS NOT NULL) WHERE pick <= {MAX_SITES})"""
+                          FROM tiers WHERE tier IS NOT NULL) WHERE pick <= {max_sites})"""
+
+
+CHOSEN = chosen_sql(MAX_SITES)
 _RAWLIST = "(' WWW.' || source || '.com ,' || lang || '\n' || lang || ',,Q ')"
 _PARTS = f"list_filter(list_transform(regexp_split_to_array({_RAWLIST}, '[,\n]'), lambda p: trim(p)), lambda p: p <> '')"
 _PH = "SELECT doc_id, unnest(string_split_regex(text, '[.\n]')) AS raw, generate_subscripts(string_split_regex(text, '[.\n]'), 1) - 1 AS pos FROM documents"
