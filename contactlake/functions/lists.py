@@ -63,7 +63,7 @@ def error_class(message: Column) -> Column:
         F.when((m == "empty") | (low == "unreachable"), "empty")
         .when(low.startswith("http ") & code.isin("401", "403"), "forbidden")
         .when(low.startswith("http ") & (code == "404"), "not_found")
-        .when(low.startswith("http ") & code.rlike("^[0-9]+$") & (code.cast("int") >= 500), "server_error")
+        .when(low.startswith("http ") & (code.try_cast("int") >= 500), "server_error")
         .when(low.startswith("http "), "http_error")
         .when(contains_any(low, ("timeout", "timed out") + V.TIMEOUT_NAMES), "timeout")
         .when(contains_any(low, V.TLS_MARKERS), "tls")

@@ -113,11 +113,7 @@ def first_mentions(df: DataFrame, found: str, out: str = "contacts", plan: Numbe
 
 
 def page_contacts(pages: DataFrame, plan: NumberingPlan = RU, strict: bool = False) -> DataFrame:
-    """``pages`` without html, plus title, body text and ``contacts`` per page.
-
-    Pages with fewer than ten digits cannot hold a number; their contact work is skipped
-    by the empty segment text, the parse itself is still needed for the title.
-    """
+    """``pages`` without html, plus title, body text and ``contacts`` per page."""
     flat = flatten_pages(pages)
     keep = [c for c in pages.columns if c != "html"]
     found = flat.select(
@@ -128,8 +124,13 @@ def page_contacts(pages: DataFrame, plan: NumberingPlan = RU, strict: bool = Fal
 
 
 def contact_rows(contacts: DataFrame, *keys: str) -> DataFrame:
-    """Normal form: one row per (page, phone) with its source rank."""
-    return contacts.select(*keys, F.inline("contacts")).withColumn("source_rank", source_rank(F.col("source")))
+    """Normal form: one row per (page, phone) with its source rank.
+
+    The outer form keeps the optimizer from inferring a size filter, which it would push
+    down as a second evaluation of the whole extraction.
+    """
+    rows = contacts.select(*keys, F.inline_outer("contacts")).where(F.col("phone").isNotNull())
+    return rows.withColumn("source_rank", source_rank(F.col("source")))
 
 
 def source_rank(source: Column) -> Column:
@@ -210,7 +211,7 @@ def brand_hints(limit: int = 20) -> Column:
             F.nullif(m["property"], F.lit("")), m["name"], F.lit(""))).isin(
                 "og:site_name", "application-name", "twitter:title")),
         lambda m: F.trim(m["content"]))
-    short = F.filter(F.transform("images", F.trim), lambda t: (F.length(t) > 3) & (F.length(t) < 80))
+    short = F.filter(F.transform("images", lambda t: F.trim(t)), lambda t: (F.length(t) > 3) & (F.length(t) < 80))
     logos = F.filter(
         F.transform(F.slice(F.filter("links", lambda k: k["logo"]), 1, 6), lambda k: _span(k)),
         lambda t: (F.length(t) > 3) & (F.length(t) < 80))

@@ -15,6 +15,7 @@ from contactlake import fixed_values as V
 from contactlake.functions import text as T
 from contactlake.functions.lists import contains_any, count_contained, exclude_list
 from contactlake.functions.url import host
+from contactlake.session import fence
 
 
 def merge_pages(content: DataFrame) -> DataFrame:
@@ -166,38 +167,46 @@ def offerings(brand: Column, limit: int = 10) -> Column:
         _worthy(normalize_offerings(F.concat(heads, listed, described, body)), brand), limit)
 
 
-def suggested_queries(brand: Column, limit: int = 14) -> Column:
-    """Offerings, templates of the model, city variants of the first query.
+def with_queries(df: DataFrame, brand: str = "brand", limit: int = 14) -> DataFrame:
+    """Adds ``queries``: offerings, templates of the model, city variants of the first query.
 
-    Needs business_model, offerings, keywords, geo_cities.
+    Needs business_model, offerings, keywords, geo_cities.  One column per step, so no step
+    is evaluated twice.
     """
     model = F.col("business_model")
     none = F.array().cast("array<string>")
-    blob = F.concat_ws(" ", F.array_join("keywords", " "), F.lower(F.array_join("offerings", " ")))
-    b2b = F.concat(*[
-        F.when(contains_any(blob, words), F.array(*[F.lit(q) for q in qs])).otherwise(none)
-        for words, qs in V.B2B_TRIGGERS])
+    cores = F.col("_cores")
     base = F.when(F.size("offerings") > 0, F.slice("offerings", 1, 3)).when(
         F.size("keywords") > 0, F.array(F.array_join(F.slice("keywords", 1, 2), " "))).otherwise(none)
-    cores = F.filter(normalize_offerings(base), lambda c: F.length(c) <= 45)
 
     def filled(m: str) -> Column:
         usable = F.filter(cores, lambda c: ~F.lower(c).rlike(V.GOODS_SKIP[m])) if m in V.GOODS_SKIP else cores
         return F.flatten(F.transform(usable, lambda c: F.array(
             *[F.replace(F.lit(t), F.lit("{}"), c) for t in V.GOODS_TEMPLATES[m]])))
 
+    b2b = F.concat(*[
+        F.when(contains_any(F.col("_blob"), words), F.array(*[F.lit(x) for x in qs])).otherwise(none)
+        for words, qs in V.B2B_TRIGGERS])
     served = F.transform(F.slice("offerings", 1, 4), lambda o: F.when(
         F.lower(o).startswith("услуг"), o).otherwise(F.concat(F.lit(V.SERVICE_PREFIX), o)))
     extra = F.when(model == "b2b_services", b2b)
     for m in V.GOODS_TEMPLATES:
         extra = extra.when(model == m, filled(m))
-    direct = F.transform(F.concat(F.slice("offerings", 1, 8), extra.otherwise(served)), T.squeeze)
-    plain = T.first_by_lower(_worthy(direct, brand), 100)
     cities = F.when(
-        model.isin(*V.LOCAL_MODELS) & (F.size(plain) > 0),
-        F.transform(F.slice("geo_cities", 1, 2), lambda c: F.concat_ws(" ", F.get(plain, F.lit(0)), c)),
+        model.isin(*V.LOCAL_MODELS) & (F.size("_plain") > 0),
+        F.transform(F.slice("geo_cities", 1, 2), lambda c: F.concat_ws(" ", F.get("_plain", F.lit(0)), c)),
     ).otherwise(none)
-    return T.first_by_lower(F.concat(plain, _worthy(cities, brand)), limit)
+    return (
+        df.withColumn("_blob", F.concat_ws(" ", F.array_join("keywords", " "), F.lower(F.array_join("offerings", " "))))
+        .withColumn("_cores", F.filter(normalize_offerings(base), lambda c: F.length(c) <= 45))
+        .withColumn("_direct", F.transform(
+            F.concat(F.slice("offerings", 1, 8), extra.otherwise(served)), T.squeeze))
+        .withColumn("_plain", T.first_by_lower(_worthy(F.col("_direct"), F.col(brand)), 100))
+        .withColumn("_cities", cities)
+        .withColumn("queries", T.first_by_lower(
+            F.concat("_plain", _worthy(F.col("_cities"), F.col(brand))), limit))
+        .drop("_blob", "_cores", "_direct", "_plain", "_cities")
+    )
 
 
 def geo_cities(text: Column, cities=V.GEO_CITIES, limit: int = 3) -> Column:
@@ -243,10 +252,10 @@ def profile_sites(survey: DataFrame) -> DataFrame:
         .withColumn("audience", audience(c("body_low"), c("business_model")))
         .withColumn("offerings", offerings(c("brand")))
     )
-    return (
-        with_keywords(scored, "body_low")
-        .withColumn("geo_cities", geo_cities(F.concat_ws(" ", "body_text", "footer_text")))
-        .withColumn("queries", suggested_queries(c("brand")))
+    described = with_keywords(scored, "body_low").withColumn(
+        "geo_cities", geo_cities(F.concat_ws(" ", "body_text", "footer_text")))
+    return fence(
+        with_queries(fence(described.drop("body_low", *[f"score_{m}" for m, _ in V.MODEL_SIGNALS]), "site"))
         .select(
             "site", "business_model", "audience", summary().alias("summary"), "offerings",
             c("keywords").alias("industry_keywords"), "geo_cities", "queries",
@@ -254,6 +263,7 @@ def profile_sites(survey: DataFrame) -> DataFrame:
             .alias("client_name"),
             exclude_list(host(c("site"))).alias("exclude_domains"),
             "title", "pages_surveyed",
-        )
+        ),
+        "site",
     )
 

@@ -17,7 +17,7 @@ def summarize_runs(runs: DataFrame) -> DataFrame:
     """List item per run.  Counts come from the row's own arrays; nothing is shuffled."""
     b = F.col("brief")
     queries = query_list(b["queries"], distinct=True, default=())
-    regions = F.filter(F.transform(F.split(F.coalesce(b["regions"], F.lit("")), ","), F.trim), lambda r: r != "")
+    regions = F.filter(F.transform(F.split(F.coalesce(b["regions"], F.lit("")), ","), lambda r: F.trim(r)), lambda r: r != "")
     return runs.select(
         "id", "status", status_label(F.col("status")).alias("status_label"),
         operator_name(b["operatorName"]).alias("operator_name"),
@@ -107,9 +107,10 @@ def reset_running(steps: DataFrame) -> DataFrame:
     return steps.withColumn("status", F.when(F.col("status") == "running", "pending").otherwise(F.col("status")))
 
 
-def can_resume(active: Column = F.lit(False)) -> Column:
+def can_resume(active: Column | None = None) -> Column:
     """Whether a decoded run can go on; ``active``: it is being worked on right now."""
     p = F.col("pipeline")
+    active = F.lit(False) if active is None else active
     filled = F.coalesce(F.size(p["checkpoint"]["alive_candidates"]) > 0, F.lit(False))
     has_rows = F.coalesce(F.size("results") > 0, F.lit(False))
     any_done = reduce(lambda a, b: a | b, [F.coalesce(p[s] == "done", F.lit(False)) for s in V.STEPS])

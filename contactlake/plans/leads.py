@@ -46,10 +46,10 @@ def lead_job(candidates: DataFrame, visits: DataFrame, policy: Column | str = "b
 
 def catalog_pages(hits: DataFrame, pages: DataFrame, plan: NumberingPlan = RU,
                   domains=V.CATALOG_DOMAINS) -> DataFrame:
-    """Parsed catalogue pages per brief that hold a number: brief_id, url, body, contacts."""
+    """Parsed catalogue pages per brief: brief_id, url, body, contacts."""
     urls = catalog_urls(hits, domains).select("brief_id", "url")
     named = pages.select("url", "html").join(urls.select("url").distinct(), "url", "left_semi")
-    parsed = page_contacts(named, plan).where(F.size("contacts") > 0)
+    parsed = page_contacts(named, plan)
     return urls.join(parsed.select("url", "body", "contacts"), "url")
 
 

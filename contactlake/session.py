@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A dimension this small is broadcast; anything larger is left to the optimizer.
 BROADCAST_MAX_ROWS = 10_000
@@ -64,6 +65,18 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fence(df: DataFrame, key: str) -> DataFrame:
+    """The same rows behind an aggregate on their unique key.
+
+    A filter that a later explode or condition brings in stops at the aggregate.  Without
+    it the optimizer rewrites the filter into the long expressions below, once per use,
+    and they are evaluated (and planned) many times over.  Input already hashed by the key
+    is not shuffled again.
+    """
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.first(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a freshly read table at least one partition per core.
 

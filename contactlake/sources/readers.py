@@ -157,7 +157,7 @@ def decode_runs(raw: DataFrame) -> DataFrame:
         F.from_json(F.coalesce("pipeline_json", F.lit("{}")), f"STRUCT<{S.PIPELINE_FIELDS}>").alias("pipeline"),
         F.from_json(F.coalesce("results_json", F.lit("[]")), f"ARRAY<STRUCT<{S.LEAD_FIELDS}>>").alias("results"),
         "error", (F.coalesce("is_demo", F.lit(0)) != 0).alias("is_demo"),
-        F.to_timestamp("created_at").alias("created_at"), F.to_timestamp("updated_at").alias("updated_at"),
+        F.try_to_timestamp("created_at").alias("created_at"), F.try_to_timestamp("updated_at").alias("updated_at"),
     )
 
 

@@ -24,7 +24,8 @@ def page_contact_stream(pages: DataFrame, time: str = "fetched_at", lateness: st
                         plan: NumberingPlan = RU) -> DataFrame:
     """Streaming pages (url, html, event time) -> new contacts."""
     parsed = page_contacts(pages.select(time, "url", "html"), plan)
-    rows = parsed.select(time, host(F.col("url")).alias("site"), F.inline("contacts"))
+    rows = parsed.select(
+        time, host(F.col("url")).alias("site"), F.inline_outer("contacts")).where(F.col("phone").isNotNull())
     return _distinct_contacts(rows, time, lateness)
 
 
@@ -32,7 +33,8 @@ def text_contact_stream(texts: DataFrame, site: Column, text: Column, time: Colu
                         lateness: str = "1 day", plan: NumberingPlan = RU) -> DataFrame:
     """Streaming texts -> new contacts."""
     keyed = texts.select(time.alias("at"), site.alias("site"), text.alias("text"))
-    rows = text_contacts(keyed, F.col("text"), plan=plan).select("at", "site", F.inline("contacts"))
+    rows = text_contacts(keyed, F.col("text"), plan=plan).select(
+        "at", "site", F.inline_outer("contacts")).where(F.col("phone").isNotNull())
     return _distinct_contacts(rows, "at", lateness)
 
 

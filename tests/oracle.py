@@ -59,7 +59,7 @@ def compare(spark, con, sf_dir: str, query, sql: str) -> list[str]:
     if len(a) != len(b):
         out.append(f"rows {len(a)} != {len(b)}")
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:2] if len(a) < 20000 else a[:1]
-        only_b = [r for r in b if r not in set(a)][:2] if len(b) < 20000 else b[:1]
+        in_a, in_b = set(a), set(b)
+        only_a, only_b = [r for r in a if r not in in_b][:2], [r for r in b if r not in in_a][:2]
         out.append(f"values differ\n   spark {str(only_a)[:700]}\n   sql   {str(only_b)[:700]}")
     return out

@@ -27,7 +27,7 @@ def _doc_contacts(spark, sf_dir, plan=NANP):
 
 
 def _doc_rows(spark, sf_dir, site, plan=NANP):
-    rows = _doc_contacts(spark, sf_dir, plan).select("doc_id", F.col(site).alias("site"), F.inline("contacts"))
+    rows = _doc_contacts(spark, sf_dir, plan).select("doc_id", F.col(site).alias("site"), F.inline_outer("contacts")).where(F.col("phone").isNotNull())
     return rows.withColumn("ord", F.col("doc_id") * 1000 + F.col("ord"))
 
 
@@ -46,13 +46,13 @@ def q_url_normal(spark, sf_dir):
 
 
 def q_contacts_text(spark, sf_dir):
-    return _doc_contacts(spark, sf_dir).select("doc_id", F.inline("contacts")).select(
-        "doc_id", "ord", "phone", "type")
+    return _doc_contacts(spark, sf_dir).select("doc_id", F.inline_outer("contacts")).where(
+        F.col("phone").isNotNull()).select("doc_id", "ord", "phone", "type")
 
 
 def q_contacts_text_trunk(spark, sf_dir):
-    return _doc_contacts(spark, sf_dir, RU_TRUNK).select("doc_id", F.inline("contacts")).select(
-        "doc_id", "ord", "phone", "type")
+    return _doc_contacts(spark, sf_dir, RU_TRUNK).select("doc_id", F.inline_outer("contacts")).where(
+        F.col("phone").isNotNull()).select("doc_id", "ord", "phone", "type")
 
 
 def q_contacts_html(spark, sf_dir):
