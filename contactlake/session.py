@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # A dimension this small is broadcast; anything larger is left to the optimizer.
 BROADCAST_MAX_ROWS = 10_000
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def build_session(cores: str = "*", shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -37,12 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     local mode, where driver and executors share one disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        path = tempfile.mkdtemp(prefix="contactlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="contactlake-")
+    return _LOCAL_DIRS[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
