@@ -1,6 +1,7 @@
 """List fields, labels and other small lookups."""
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -89,6 +90,16 @@ def contains_any(text: Column, terms) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms], F.lit(False))
 
 
+def one_of(word: Column, words) -> Column:
+    """The whole (short) text is one of the words: one pattern instead of one literal each."""
+    return word.rlike(rf"^(?:{'|'.join(map(re.escape, words))})\z")
+
+
+def phrase_contains(phrase: Column, terms) -> Column:
+    """``contains_any`` for short phrases, as a single pattern."""
+    return phrase.rlike("|".join(map(re.escape, terms)))
+
+
 def count_contained(text: Column, terms) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms], F.lit(0))
 

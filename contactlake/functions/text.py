@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
-from contactlake.functions.lists import contains_any
+from contactlake.functions.lists import one_of, phrase_contains
 
 _WS = f"[{V.WHITE_SPACE}]"
 
@@ -54,7 +54,7 @@ def phrase_ok(s: Column) -> Column:
     """Tidied phrase of fair length that is no interface text, promotion or bare number."""
     bad = (
         s.rlike(V.SKIP_PHRASE) | s.rlike(V.SECTION_JUNK) | s.rlike(V.PROMO)
-        | F.lower(s).isin(*V.PHRASE_STOP_WORDS) | s.rlike(r"^[0-9\s+().\-]+$")
+        | one_of(F.lower(s), V.PHRASE_STOP_WORDS) | s.rlike(r"^[0-9\s+().\-]+$")
     )
     return F.length(s).between(4, 90) & ~bad
 
@@ -92,9 +92,9 @@ def has_service_sense(phrase: Column) -> Column:
     low = F.lower(phrase)
     ws = F.filter(
         F.regexp_extract_all(low, F.lit("([а-яёa-z]{4,})"), F.lit(1)),
-        lambda w: ~w.isin(*V.PHRASE_STOP_WORDS),
+        lambda w: ~one_of(w, V.PHRASE_STOP_WORDS),
     )
-    return contains_any(low, V.SERVICE_HINTS) | (F.size(ws) >= 2)
+    return phrase_contains(low, V.SERVICE_HINTS) | (F.size(ws) >= 2)
 
 
 def looks_like_query(phrase: Column) -> Column:
@@ -103,7 +103,7 @@ def looks_like_query(phrase: Column) -> Column:
     starter = low.rlike(f"^(?:{'|'.join(V.QUERY_STARTERS)})")
     return (
         (F.size(ws) >= 2)
-        & ~F.coalesce(F.get(ws, F.lit(0)).isin(*V.BAD_QUERY_START), F.lit(False))
+        & ~F.coalesce(one_of(F.get(ws, F.lit(0)), V.BAD_QUERY_START), F.lit(False))
         & (starter | ((F.size(ws) >= 3) & has_service_sense(low)))
     )
 
@@ -111,8 +111,8 @@ def looks_like_query(phrase: Column) -> Column:
 def section_junk(phrase: Column) -> Column:
     low = strip(F.lower(phrase))
     short = (
-        (F.size(words(low)) <= 4) & contains_any(low, V.SECTION_WORDS)
-        & ~contains_any(low, V.SECTION_EXCUSES)
+        (F.size(words(low)) <= 4) & phrase_contains(low, V.SECTION_WORDS)
+        & ~phrase_contains(low, V.SECTION_EXCUSES)
     )
     return low.rlike(V.SECTION_JUNK) | (mostly_caps(phrase) & (F.length(phrase) >= 10)) | short
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
-from contactlake.functions.lists import contains_any
+from contactlake.functions.lists import contains_any, one_of
 from contactlake.functions.text import hit_blob
 from contactlake.functions.url import host_suffixes, strip_www
 
@@ -100,7 +100,7 @@ def query_matches(query: Column, blob: Column, synonyms=V.QUERY_SYNONYMS) -> Col
 
 def niche_stems(texts: Column, stop=V.NICHE_STOP_WORDS, root=V.NICHE_ROOT) -> Column:
     low = F.transform(texts, lambda t: F.lower(F.coalesce(t, F.lit(""))))
-    tokens = F.filter(F.flatten(F.transform(low, _tokens)), lambda t: ~t.isin(*stop))
+    tokens = F.filter(F.flatten(F.transform(low, _tokens)), lambda t: ~one_of(t, stop))
     rooted = F.transform(F.filter(low, lambda t: F.contains(t, F.lit(root))), lambda t: F.lit(root))
     return F.array_distinct(F.concat(rooted, F.transform(tokens, lambda t: F.left(t, F.lit(6)))))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
 from contactlake.functions import text as T
-from contactlake.functions.lists import contains_any, count_contained, exclude_list
+from contactlake.functions.lists import contains_any, count_contained, exclude_list, one_of
 from contactlake.functions.url import host
 from contactlake.session import fence
 
@@ -102,7 +102,7 @@ def with_keywords(df: DataFrame, body: str, out: str = "keywords", limit: int =
     """
     found = F.filter(
         F.regexp_extract_all(F.col(body), F.lit(r"([а-яёa-z][а-яёa-z\-]{3,})"), F.lit(1)),
-        lambda w: (F.length(w) >= 5) & ~w.isin(*stop))
+        lambda w: (F.length(w) >= 5) & ~one_of(w, stop))
     w, h = F.col("_words"), F.col("_heads")
     numbered = F.transform(found, lambda x, i: F.struct(x.alias("w"), i.alias("pos")))
     heads = F.filter(

@@ -23,6 +23,8 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None, memor
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+        # rows here are small in bytes and dear in CPU: do not merge them into one task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

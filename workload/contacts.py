@@ -248,7 +248,7 @@ SQL = {
     "q_first_contact_page": f"""WITH {_PAGE_CONTACTS},
         v AS (SELECT * FROM (SELECT page_id, {host_sql('url')} AS site, html,
                 row_number() OVER (PARTITION BY {host_sql('url')} ORDER BY page_id) - 1 AS visit FROM pages) WHERE visit < 6),
-        t AS (SELECT site, visit, page_id, trim(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&')) AS title,
+        t AS (SELECT site, visit, page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g')) AS title,
                 (SELECT count(*) FROM pc WHERE pc.page_id = v.page_id) AS n_phones,
                 (SELECT string_agg(phone, ',' ORDER BY ord) FROM pc WHERE pc.page_id = v.page_id) AS phones FROM v),
         s AS (SELECT site, min(visit) FILTER (WHERE n_phones > 0) AS found_at FROM t GROUP BY site)

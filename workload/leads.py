@@ -12,7 +12,7 @@ from contactlake.functions.url import host
 from contactlake.operators.contacts import limit_visits, text_contacts
 from contactlake.operators.leads import dedupe_leads, fill_from_catalogs, not_yet_done
 from contactlake.plans.leads import finish_run
-from contactlake.session import shared_dir
+from contactlake.session import shared_dir, stage
 from contactlake.sources.readers import read_pages
 from contactlake.sources.writers import export_table, exportable, write_csv
 from workload import common as W
@@ -39,9 +39,9 @@ def q_lead_rows(spark, sf_dir):
 def q_catalog_fill(spark, sf_dir):
     """Sites without a number against documents that hold one."""
     d = documents(spark, sf_dir)
-    docs = text_contacts(d.select("doc_id", "lang", "text"), F.col("text"), plan=NANP).select(
+    docs = stage(text_contacts(d.select("doc_id", "lang", "text"), F.col("text"), plan=NANP).select(
         F.col("lang").alias("brief_id"), F.format_string("d%09d", "doc_id").alias("url"),
-        F.col("text").alias("body"), "contacts")
+        F.col("text").alias("body"), "contacts"))
     none = F.lit(None).cast("string")
     needy = hits(spark, sf_dir).groupBy("brief_id", F.col("domain").alias("site")).agg(F.min("pos").alias("ord"))
     leads = needy.select(
@@ -123,7 +123,7 @@ LEADS = f"""{chosen_sql(MAX_SITES)},
 {contacts_sql('pc', f"(SELECT page_id, {PLAIN_TEXT_SQL} AS text FROM pages)", 'page_id', 'text')},
 {contacts_sql('sc', 'chosen', 'brief_id, domain', "trim(title || ' ' || snippet)")},
 vis AS (SELECT * FROM (SELECT page_id, url, {host_sql('url')} AS site,
-          trim(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&')) AS title,
+          trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g')) AS title,
           row_number() OVER (PARTITION BY {host_sql('url')} ORDER BY page_id) - 1 AS visit,
           EXISTS (SELECT 1 FROM pc WHERE pc.page_id = pages.page_id) AS has_phone FROM pages) WHERE visit < 6),
 stop AS (SELECT site, min(visit) FILTER (WHERE has_phone) AS found_at, arg_min(page_id, visit) FILTER (WHERE has_phone) AS page_id

@@ -8,6 +8,7 @@ from contactlake.operators import results as R
 from contactlake.operators import runs as O
 from contactlake.sources.readers import decode_runs, legacy_rows, parse_briefs, region_label, regions, run_results
 from contactlake.sources.writers import upsert_runs
+from contactlake.session import spread
 from workload.common import q, table
 
 
@@ -17,7 +18,7 @@ def _s(c):
 
 def raw_runs(spark, sf_dir):
     """Orders as stored runs with their JSON columns."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     n = (F.col("o_custkey") % 4).cast("int")
     brief = F.to_json(F.struct(
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).otherwise(" ").alias("operatorName"),
@@ -225,7 +226,7 @@ def q_mark_visible(spark, sf_dir):
 # --- briefs and sheets ------------------------------------------------------------------------------
 
 def q_briefs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     text = F.concat(
         F.lit("Brief\nЭкспорт: 1.1.2025, 10:00\n# note: x\n\nКлиент: Client "), _s("o_custkey"),
         F.lit("\r\nСайт клиента: see https://c"), _s("o_custkey"), F.lit(".example.com/a.\nПоисковые запросы:\n---\none "),
