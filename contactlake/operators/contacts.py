@@ -114,6 +114,13 @@ def limit_visits(pages: DataFrame, max_pages: int, *order: str) -> DataFrame:
     )
 
 
+def one_per_visit(parsed: DataFrame, page_chars: int = 8000) -> DataFrame:
+    """Of several addresses of one position (http and https, with and without www) the smallest url."""
+    cut = parsed.withColumn("body", F.substring("body", 1, page_chars))
+    return cut.groupBy("site", "visit").agg(
+        F.min_by(F.struct("title", "body", "contacts"), "url").alias("p")).select("site", "visit", "p.*")
+
+
 def crawl_results(parsed: DataFrame, page_chars: int = 8000, site_chars: int = 6000) -> DataFrame:
     """One row per site: visiting stops at the first page with a number.
 

@@ -221,12 +221,14 @@ def flatten_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     keep = [c for c in pages.columns if c != html]
 
     def run(batches):
-        for b in batches:
-            rows = pa.array([_flatten(h) for h in b.column(html).to_pylist()], type=_ARROW)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in keep] + rows.flatten(),
-                names=keep + [f.name for f in _ARROW],
-            )
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # bounds the parsed pages held at once
+                b = batch.slice(at, 256)
+                rows = pa.array([_flatten(h) for h in b.column(html).to_pylist()], type=_ARROW)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(c) for c in keep] + rows.flatten(),
+                    names=keep + [f.name for f in _ARROW],
+                )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html)
     return pages.mapInArrow(run, f"{fields}, {FLAT_SCHEMA}" if fields else FLAT_SCHEMA)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
 from contactlake.functions.phone import (
-    RU, NumberingPlan, normalize_phone, phone_type, phones_after_words, phones_in_text,
+    RU, NumberingPlan, normalize_phone, phone_hint, phone_type, phones_after_words, phones_in_text,
 )
 from contactlake.operators.flatten import FLAT_COLUMNS, FLAT_SCHEMA, flatten_pages
 
@@ -139,9 +139,17 @@ def source_rank(source: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, low), F.when(low.endswith("-tel"), 2), F.lit(9))
 
 
-def may_hold_phone(html: Column) -> Column:
-    """Necessary for any number in the page: ten digits somewhere."""
-    return F.length(F.regexp_replace(html, "[^0-9]+", "")) >= 10
+def with_phone_flag(pages: DataFrame, plan: NumberingPlan = RU, out: str = "has_phone") -> DataFrame:
+    """Whether a page holds a number: the cheap hint first, the full extraction only where it misses.
+
+    A page with the hint enters the Arrow pass with NULL instead of its html, so it is
+    scanned once and not parsed; the html column itself is dropped.
+    """
+    keep = [c for c in pages.columns if c != "html"]
+    hinted = pages.withColumn("_hint", phone_hint(F.col("html"), plan)).withColumn(
+        "html", F.when(~F.col("_hint"), F.col("html")))
+    found = flatten_pages(hinted).select(*keep, "_hint", mentions(contact_segments(), plan).alias("_found"))
+    return found.select(*keep, (F.col("_hint") | (F.size("_found") > 0)).alias(out))
 
 
 # --- content and identity ----------------------------------------------------------------

@@ -5,25 +5,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
-from contactlake.functions.url import host, normalize_url, path_of, same_host
+from contactlake.functions.url import host, normalize_url, path_of, resolve, same_host
 from contactlake.operators.flatten import FLAT_COLUMNS
 from contactlake.session import cut_lineage
 
 
+def _keys(flat: DataFrame) -> list[str]:
+    return [c for c in flat.columns if c not in FLAT_COLUMNS]
+
+
+def _absolute(hrefs: Column, base: Column) -> Column:
+    """Trimmed references -> normalised absolute urls; one step per transform, so no step repeats."""
+    refs = F.filter(F.transform(hrefs, lambda h: F.trim(h)), lambda r: r != "")
+    urls = F.transform(F.transform(refs, lambda r: resolve(r, base)), lambda u: normalize_url(u))
+    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull()))
+
+
 def _targets(base: Column) -> Column:
     """Distinct absolute link targets of a flat page in document order."""
-    hrefs = F.filter("links", lambda k: k["href"].isNotNull())
-    urls = F.transform(hrefs, lambda k: normalize_url(k["href"], base))
-    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull()))
+    return _absolute(F.transform(F.filter("links", lambda k: k["href"].isNotNull()), lambda k: k["href"]), base)
+
+
+def _own(urls: Column, base: Column) -> Column:
+    """The urls on the site of ``base``, whose host is computed once per page."""
+    return F.flatten(F.transform(
+        F.array(host(base)), lambda root: F.filter(urls, lambda u: same_host(u, root))))
 
 
 def page_links(flat: DataFrame, url: str = "url") -> DataFrame:
     """One row per (page, distinct target): ``pos``, ``target``, ``same_host``."""
-    keys = [c for c in flat.columns if c not in FLAT_COLUMNS]
-    return (
-        flat.select(*keys, F.posexplode(_targets(F.col(url))).alias("pos", "target"))
-        .withColumn("same_host", same_host(F.col("target"), host(F.col(url))))
-    )
+    rows = flat.select(*_keys(flat), F.posexplode_outer(_targets(F.col(url))).alias("pos", "target"))
+    return rows.where(F.col("target").isNotNull()).withColumn(
+        "same_host", same_host(F.col("target"), host(F.col(url))))
 
 
 def top_links(flat: DataFrame, url: str = "url", k: int = 8, hints: str = V.PATH_HINTS) -> DataFrame:
@@ -31,14 +44,13 @@ def top_links(flat: DataFrame, url: str = "url", k: int = 8, hints: str = V.PATH
 
     Scored and cut inside the row; no shuffle.
     """
-    keys = [c for c in flat.columns if c not in FLAT_COLUMNS]
-    own = F.filter(_targets(F.col(url)), lambda u: same_host(u, host(F.col(url))))
-    scored = F.transform(own, lambda u, i: F.struct(
+    scored = F.transform(_own(_targets(F.col(url)), F.col(url)), lambda u, i: F.struct(
         F.when(path_of(u).rlike(hints), -15).otherwise(0).alias("minus_score"),
         i.alias("pos"), u.alias("target")))
+    best = F.slice(F.array_sort(scored), 1, k)
     return (
-        flat.select(*keys, F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("rank", "k"))
-        .select(*keys, "rank", "k.target", (-F.col("k.minus_score")).alias("score"))
+        flat.select(*_keys(flat), F.posexplode_outer(best).alias("rank", "k")).where(F.col("k").isNotNull())
+        .select(*_keys(flat), "rank", "k.target", (-F.col("k.minus_score")).alias("score"))
     )
 
 
@@ -49,18 +61,19 @@ def section_links(flat: DataFrame, site: str = "site", url: str = "url", k: int
     Input: the home pages.  Links on one page come in document order; the group limit
     keeps k rows per site in every map partition.
     """
-    def hinted(x: Column) -> Column:
-        label = F.lower(F.array_join(F.slice(F.col("strings"), x["s"] + 1, x["e"] - x["s"]), " "))
-        return label.rlike(hints) | F.lower(path_of(x["url"])).rlike(hints)
-
-    links = F.transform(
-        F.filter("links", lambda x: x["href"].isNotNull()),
-        lambda x: F.struct(normalize_url(x["href"], F.col(url)).alias("url"), x["s"].alias("s"), x["e"].alias("e")))
-    targets = F.transform(
-        F.filter(links, lambda x: same_host(x["url"], host(F.col(url))) & hinted(x)), lambda x: x["url"])
+    def labelled(k: Column) -> Column:
+        label = F.lower(F.array_join(F.slice(F.col("strings"), k["s"] + 1, k["e"] - k["s"]), " "))
+        return F.struct(F.trim(k["href"]).alias("ref"), label.rlike(hints).alias("by_label"))
+
+    refs = F.filter(
+        F.transform(F.filter("links", lambda k: k["href"].isNotNull()), labelled), lambda x: x["ref"] != "")
+    whole = F.transform(refs, lambda x: F.struct(resolve(x["ref"], F.col(url)).alias("url"), x["by_label"].alias("by_label")))
+    plain = F.transform(whole, lambda x: F.struct(normalize_url(x["url"]).alias("url"), x["by_label"].alias("by_label")))
+    hinted = F.filter(plain, lambda x: x["url"].isNotNull() & (x["by_label"] | F.lower(path_of(x["url"])).rlike(hints)))
+    targets = _own(F.array_distinct(F.transform(hinted, lambda x: x["url"])), F.col(url))
     order = Window.partitionBy(site).orderBy(url, "pos")
     return (
-        flat.select(site, url, F.posexplode(F.array_distinct(targets)).alias("pos", "target"))
+        flat.select(site, url, F.posexplode_outer(targets).alias("pos", "target")).where(F.col("target").isNotNull())
         .groupBy(site, "target").agg(F.min(F.struct(F.col(url), "pos")).alias("at"))
         .select(site, "target", "at.*")
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

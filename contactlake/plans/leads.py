@@ -1,47 +1,96 @@
 """Candidates + page snapshot -> lead rows; the full run over many briefs."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
 from contactlake.functions.phone import RU, NumberingPlan
 from contactlake.functions.url import host, path_of
-from contactlake.operators.contacts import crawl_results
+from contactlake.operators.contacts import crawl_results, one_per_visit
 from contactlake.operators.hits import catalog_urls
 from contactlake.operators.html import page_contacts
 from contactlake.operators.leads import build_leads, dedupe_leads, fill_from_catalogs
-from contactlake.operators.links import page_budget, visit_order
+from contactlake.operators.flatten import flatten_pages
+from contactlake.operators.links import page_budget, top_links, visit_order
 from contactlake.plans.candidates import candidate_job
 from contactlake.session import stage
+from contactlake.sources.readers import union_all
 
 
-def planned_visits(pages: DataFrame, depth: int = 2) -> DataFrame:
+PATHS = ("/",) + V.CONTACT_PATHS + V.ABOUT_PATHS
+CLIENT_PATHS = ("/", "/contacts", "/kontakty")
+
+
+def planned_visits(pages: DataFrame, depth: int = 2, paths: tuple[str, ...] = PATHS) -> DataFrame:
     """Pages on the fixed visiting path of each site, within the page budget.
 
-    The budget counts positions of the path, so it is a filter, not a ranking.  One page
-    per position: of equal paths the smallest url.
+    The budget counts positions of the path, so this is a filter on the url: no ranking,
+    no join, and the html of other pages is never moved.
     """
-    visit = visit_order(path_of(F.col("url")))
+    plain = ~F.col("url").rlike(r"[?#]")
     return (
-        pages.withColumn("site", host(F.col("url"))).withColumn("visit", visit)
+        pages.where(plain).withColumn("site", host(F.col("url")))
+        .withColumn("visit", visit_order(path_of(F.col("url")), paths))
         .where(F.col("visit") < page_budget(depth))
-        .groupBy("site", "visit").agg(F.min("url").alias("url"))
-        .join(pages.select("url", "html"), "url")
+        .select("site", "visit", "url", "html")
     )
 
 
+def deep_visits(pages: DataFrame, depth: int) -> DataFrame:
+    """Fixed path plus, where the budget allows (depth 4 and 5), links found on visited pages.
+
+    Links queue up in visiting order, the best eight per page; a link without a snapshot
+    page still uses up budget.  Each level keeps at most the free budget per site.
+    """
+    fixed = planned_visits(pages, depth)
+    free = page_budget(depth) - len(PATHS)
+    if free <= 0:
+        return fixed
+    known = stage(fixed.select("site", "url").distinct())
+    frontier, found = fixed.where(F.col("visit") > 0), []
+    queue = Window.partitionBy("site").orderBy("first")
+    for level in range(1, depth - 1):
+        targets = (
+            top_links(flatten_pages(frontier)).groupBy("site", F.col("target").alias("url"))
+            .agg(F.min(F.struct("visit", "rank")).alias("first"))
+            .join(known, ["site", "url"], "left_anti")
+            .withColumn("n", F.row_number().over(queue)).where(F.col("n") <= free)
+            .select("site", "url", (F.lit(level * 100) + F.col("n")).alias("visit"))
+        )
+        fresh = stage(targets)
+        known = known.unionByName(fresh.select("site", "url"))
+        found.append(fresh)
+        frontier = fresh.join(pages.select("url", "html"), "url").select("site", "visit", "url", "html")
+    by_visit = Window.partitionBy("site").orderBy("visit")
+    extra = (
+        union_all(found).withColumn("n", F.row_number().over(by_visit)).where(F.col("n") <= free)
+        .join(pages.select("url", "html"), "url").select("site", "visit", "url", "html")
+    )
+    return fixed.unionByName(extra)
+
+
+def client_summary(pages: DataFrame, plan: NumberingPlan = RU) -> DataFrame:
+    """Short reading of client sites: title, text sample and numbers from home and contact pages."""
+    parsed = page_contacts(planned_visits(pages, 1, CLIENT_PATHS), plan)
+    return crawl_results(one_per_visit(parsed)).select(
+        "site", "title", F.substring("title", 1, 200).alias("niche_hint"),
+        F.substring("text", 1, 4000).alias("text_sample"),
+        F.transform("contacts", lambda c: c["phone"]).alias("phones"), "pages")
+
+
 def lead_job(candidates: DataFrame, visits: DataFrame, policy: Column | str = "business",
              plan: NumberingPlan = RU, region_names=None) -> DataFrame:
-    """``candidates``: brief_id, ord, domain, ...; ``visits``: site, visit, html.
+    """``candidates``: brief_id, ord, domain, ...; ``visits``: site, visit, url, html.
 
     Only pages of candidate sites are parsed: the semi join comes before the Arrow pass,
-    because nothing can be pushed through it.
+    because nothing can be pushed through it, and moving a page costs far less than
+    parsing it.  What is shuffled afterwards is titles, cut texts and contacts.
     """
     wanted = candidates.select(F.col("domain").alias("site")).distinct()
     parsed = page_contacts(
-        visits.select("site", "visit", "html").join(wanted, "site", "left_semi"), plan)
-    return build_leads(candidates, crawl_results(parsed), policy, plan, region_names)
+        visits.select("site", "visit", "url", "html").join(wanted, "site", "left_semi"), plan)
+    return build_leads(candidates, crawl_results(one_per_visit(parsed)), policy, plan, region_names)
 
 
 def catalog_pages(hits: DataFrame, pages: DataFrame, plan: NumberingPlan = RU,

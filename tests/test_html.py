@@ -138,3 +138,11 @@ def test_wide_page_stays_whole(spark):
 
 def test_source_rank(ev):
     assert ev(H.source_rank, ["header", "FOOTER", "nav-tel", "snippet", "html"]) == [0, 3, 2, 9, 10]
+
+
+def test_phone_flag(spark):
+    rows = [(1, "tel:+79001234567"), (2, "<p>495 <b>x</b></p>"), (3, "<span class=phone>9161112233</span>"),
+            (4, "x" * 90_000 + "<p>8 495 111 22 33"), (5, None)]
+    df = spark.createDataFrame(rows, "page_id INT, html STRING")
+    got = {r.page_id: r.has_phone for r in H.with_phone_flag(df).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: False}

@@ -13,7 +13,7 @@ from contactlake.operators import html
 from contactlake.operators.flatten import flatten_pages
 from contactlake.operators.leads import dedupe_leads, fill_from_catalogs
 from contactlake.plans.candidates import brief_parameters, candidate_job, live_pages, seeded_candidates
-from contactlake.plans.leads import full_run
+from contactlake.plans.leads import client_summary, deep_visits, full_run, planned_visits
 from contactlake.sources.readers import parse_briefs, read_pages
 
 SF = "/root/testdata/sf0.001"
@@ -142,6 +142,27 @@ def test_full_run(spark):
     assert order == ["home.ru", "none.ru", "spb.kudagid.ru", "twin.ru"]
 
 
+def test_visits(spark):
+    link = lambda *hrefs: "".join(f'<a href="{h}">x</a>' for h in hrefs)
+    pages = spark.createDataFrame([
+        ("https://a.ru/", "<title>А</title>home"), ("https://a.ru/contacts", link("/p1", "/company", "/p2", "/p1")),
+        ("https://a.ru/about-us", link("/p3", "/p4")), ("https://a.ru/p1", "8 495 111 22 33"), ("https://a.ru/company", link("/deep")),
+        ("https://a.ru/p2", ""), ("https://a.ru/p4", ""), ("https://a.ru/deep", "x"), ("https://a.ru/contacts?x", "q"),
+        ("http://www.a.ru/kontakty", "8 903 000 00 01"),
+    ], "url STRING, html STRING")
+    def visits(df):
+        return [r.url.split("a.ru")[1] for r in df.orderBy("visit", "url").collect()]
+
+    assert visits(planned_visits(pages, 2)) == ["/", "/contacts", "/kontakty"]
+    assert visits(deep_visits(pages, 3)) == ["/", "/contacts", "/kontakty", "/about-us"]
+    # depth 4: three more positions, contact-like link first, then page order
+    assert visits(deep_visits(pages, 4))[4:] == ["/company", "/p1", "/p2"]
+    # depth 5: six more; /p3 has no snapshot page but uses up one; /deep comes from the second level
+    assert visits(deep_visits(pages, 5))[4:] == ["/company", "/p1", "/p2", "/p4", "/deep"]
+    r = client_summary(pages).first()
+    assert (r.site, r.title, r.phones, r.pages) == ("a.ru", "А", ["79030000001"], 3)
+
+
 def test_hot_keys(spark):
     """A third of all hits on one domain, half of all contacts on one site: whole results."""
     n = 30_000
