@@ -97,6 +97,10 @@ def q_phone_hint(spark, sf_dir):
         "page_id", phone_hint(F.col("html"), NANP).alias("hint_nanp"), phone_hint(F.col("html"), RU).alias("hint_ru"))
 
 
+def q_phone_flag(spark, sf_dir):
+    return H.with_phone_flag(pages(spark, sf_dir).select("page_id", "html"), NANP)
+
+
 def q_first_contact_page(spark, sf_dir):
     sited = pages(spark, sf_dir).withColumn("site", host(F.col("url")))
     parsed = H.page_contacts(limit_visits(sited, 6, "page_id").select("site", "visit", "html"), NANP)
@@ -151,7 +155,7 @@ def q_site_input(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     q_host, q_url_normal, q_contacts_text, q_contacts_text_trunk, q_contacts_html, q_phone_policy,
-    q_phone_display, q_primary_phones, q_phone_overflow, q_phone_hint, q_first_contact_page,
+    q_phone_display, q_primary_phones, q_phone_overflow, q_phone_hint, q_phone_flag, q_first_contact_page,
     q_snippet_fallback, q_links, q_links_top, q_section_links, q_frontier, q_site_input)}
 
 _ORIGIN = "regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)"
@@ -245,6 +249,8 @@ SQL = {
         FROM n LEFT JOIN kept USING (site) GROUP BY n.site, n.n""",
     "q_phone_hint": f"""SELECT page_id, regexp_matches(substring(html, 1, 80000), {q(NANP.hint)}) AS hint_nanp,
         regexp_matches(substring(html, 1, 80000), {q(RU.hint)}) AS hint_ru FROM pages""",
+    "q_phone_flag": f"""WITH {_PAGE_CONTACTS} SELECT page_id, regexp_matches(substring(html, 1, 80000), {q(NANP.hint)})
+        OR page_id IN (SELECT page_id FROM pc) AS has_phone FROM pages""",
     "q_first_contact_page": f"""WITH {_PAGE_CONTACTS},
         v AS (SELECT * FROM (SELECT page_id, {host_sql('url')} AS site, html,
                 row_number() OVER (PARTITION BY {host_sql('url')} ORDER BY page_id) - 1 AS visit FROM pages) WHERE visit < 6),

@@ -1,6 +1,8 @@
 """From hits to candidates."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
@@ -275,10 +277,17 @@ QUERIES = {f.__name__: f for f in (
 BASE = f"WITH {HITS_SQL}, {FIRST_SQL.format(cap=CAP)}, {GROUPED_SQL}"
 
 
-def junk_sql(h, title, snippet):
+DATA_LISTS = dict(domains=W.JUNK_HOSTS, info=W.INFO_PARTS, edu=W.EDU, media=W.MEDIA, article=W.ARTICLE,
+                  signals=W.SIGNALS, stop=W.NICHE_STOP)
+DEFAULT_LISTS = dict(domains=V.JUNK_DOMAINS, info=V.INFO_HOST_PARTS, edu=V.EDU_HOSTS, media=V.MEDIA_HOSTS,
+                     article=V.ARTICLE_TEXT.replace("(?iu)", "(?i)"), signals=V.COMMERCIAL_SIGNALS,
+                     stop=V.NICHE_STOP_WORDS)
+
+
+def junk_sql(h, title, snippet, w=DATA_LISTS):
     blob = f"lower({title} || ' ' || {snippet})"
-    return (f"({in_domains_sql(h, W.JUNK_HOSTS)} OR regexp_matches({h}, {q(W.EDU)}) OR {contains_any_sql(h, W.INFO_PARTS)} "
-            f"OR regexp_matches({h}, {q(W.MEDIA)}) OR regexp_matches({blob}, {q(W.ARTICLE)}))")
+    return (f"({in_domains_sql(h, w['domains'])} OR regexp_matches({h}, {q(w['edu'])}) OR {contains_any_sql(h, w['info'])} "
+            f"OR regexp_matches({h}, {q(w['media'])}) OR regexp_matches({blob}, {q(w['article'])}))")
 
 
 _TOKENS = "regexp_extract_all(lower({0}), '[а-яёa-z0-9]{{4,}}')"
@@ -290,23 +299,21 @@ def _query_match_sql(query, blob):
 
 
 def _static_match(text, blob):
-    import re
     words = re.findall("[а-яёa-z0-9]{4,}", text.lower())
     return contains_any_sql(blob, [w[:5] for w in words])
 
 
-def _stems():
-    import re
+def _stems(stop):
     words = [w for t in W.BRIEF_QUERIES + (W.NICHE,) for w in re.findall("[а-яёa-z0-9]{4,}", t.lower())]
-    return [w[:6] for w in words if w not in W.NICHE_STOP]
+    return [w[:6] for w in words if w not in stop]
 
 
-def relevant_sql(h, title, snippet, hit_queries):
+def relevant_sql(h, title, snippet, hit_queries, w=DATA_LISTS):
     blob = f"lower({title} || ' ' || {snippet} || ' ' || {h})"
     own = f"len(list_filter({hit_queries}, lambda x: {_query_match_sql('x', blob)})) > 0"
     brief = " OR ".join(_static_match(t, blob) for t in W.BRIEF_QUERIES)
-    return (f"(NOT {junk_sql(h, title, snippet)} AND ({own} OR {brief} OR {contains_any_sql(blob, _stems())} "
-            f"OR {contains_any_sql(blob, W.SIGNALS)}))")
+    return (f"(NOT {junk_sql(h, title, snippet, w)} AND ({own} OR {brief} OR {contains_any_sql(blob, _stems(w['stop']))} "
+            f"OR {contains_any_sql(blob, w['signals'])}))")
 
 
 def region_named_sql(text):
@@ -389,6 +396,13 @@ SQL = {
         true AS hit_include, NOT {region_named_sql('text')} AS hit_exclude FROM documents""",
     "q_reject_reasons": f"""{JUDGED} SELECT brief_id, coalesce(reject_reason, 'kept') AS reason, count(*) AS n
         FROM judged GROUP BY 1, 2""",
+    "q_reject_defaults": f"""{BASE}, judged AS (
+        SELECT *, CASE WHEN {_OWN.replace('{h}', 'domain')} OR {in_domains_sql('domain', V.AGGREGATOR_DOMAINS)}
+            OR contains(domain, '.google.') OR ends_with(domain, '.google.com') THEN 'excluded'
+          WHEN brief_id IN ('fr', 'es') AND {contains_any_sql(f"lower({REGION_TEXT})", W.REGIONS)} THEN 'region'
+          WHEN NOT {relevant_sql('domain', 'title', 'snippet', 'queries', DEFAULT_LISTS)} THEN 'irrelevant' END AS reject_reason
+        FROM grouped)
+        SELECT brief_id, coalesce(reject_reason, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1, 2""",
     "q_alive": f"""SELECT page_id, NOT contains(url, 'spam-farm') AND {ALIVE} AS alive,
         NOT contains(url, 'spam-farm') AS usable FROM pages""",
     "q_candidates_cut": f"""{CHOSEN} SELECT brief_id, domain, CAST(pick AS INTEGER) AS pick, CAST(rank AS INTEGER) AS rank,
