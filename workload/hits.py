@@ -365,6 +365,10 @@ _CAPS = r"(len(regexp_extract_all(raw, '\p{L}')) >= 6 AND len(regexp_extract_all
 _BW = "regexp_extract_all(lower(raw), '[a-zа-яё0-9]+')"
 _HITW = "list_filter(" + _BW + ", lambda w: len(list_filter(['thereon', 'schung', 'whou'], lambda b: contains(b, w) OR contains(w, b))) > 0)"
 _TW = _WORDS.format("trim(lower(raw))")
+_QUERY_LIKE = (f"len({_TW}) >= 2 AND ({_TW})[1] NOT IN ({', '.join(q(w) for w in V.BAD_QUERY_START)}) AND (regexp_matches("
+               f"trim(lower(raw)), {q('^(?:' + '|'.join(V.QUERY_STARTERS) + ')')}) OR (len({_TW}) >= 3 AND {_SENSE}))")
+_JUNK = (f"regexp_matches(trim(lower(raw)), {_RE_I(V.SECTION_JUNK)}) OR ({_CAPS} AND length(raw) >= 10) OR (len({_TW}) <= 4 "
+         f"AND {contains_any_sql(_LOW, V.SECTION_WORDS)} AND NOT {contains_any_sql(_LOW, V.SECTION_EXCUSES)})")
 
 SQL = {
     "q_hits_from_xml": f"""WITH {HITS_SQL} SELECT pos AS doc_id,
@@ -441,10 +445,7 @@ SQL = {
           AND NOT regexp_matches(s, '^[0-9\\s+().-]+$') THEN s END AS phrase FROM t""",
     "q_phrase_tests": f"""WITH p AS ({_PH}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_CAPS} AS caps,
         len({_BW}) > 0 AND len({_HITW}) >= greatest(1, len({_BW}) // 2) AS brand, {_SENSE} AS sense,
-        len({_TW}) >= 2 AND ({_TW})[1] NOT IN ({', '.join(q(w) for w in V.BAD_QUERY_START)})
-          AND (regexp_matches(trim(lower(raw)), {q('^(?:' + '|'.join(V.QUERY_STARTERS) + ')')}) OR (len({_TW}) >= 3 AND {_SENSE})) AS query_like,
-        regexp_matches(trim(lower(raw)), {_RE_I(V.SECTION_JUNK)}) OR ({_CAPS} AND length(raw) >= 10)
-          OR (len({_TW}) <= 4 AND {contains_any_sql(_LOW, V.SECTION_WORDS)} AND NOT {contains_any_sql(_LOW, V.SECTION_EXCUSES)}) AS junk
+        {_QUERY_LIKE} AS query_like, {_JUNK} AS junk
         FROM p""",
     "q_hit_blob": f"WITH {HITS_SQL} SELECT pos, md5(title || ' ' || snippet || ' ' || query || ' ' || engine) AS blob FROM hits",
 }
