@@ -61,7 +61,7 @@ class _Flattener(HTMLParser):
         self.stack: list[tuple] = []      # (tag, node, link, is logo class, listing counter)
         self.open: dict[str, int] = {}    # open elements by tag
         self.buf: list[str] = []
-        self.mute = self.logo = self.listings = 0
+        self.mute = self.logo = self.listings = self.n_images = 0
         self.counters: list[list[int]] = []
         self.script: str | None = None
 
@@ -91,7 +91,8 @@ class _Flattener(HTMLParser):
         if tag == "meta":
             self.metas.append({"name": a.get("name"), "property": a.get("property"),
                                "content": a.get("content")})
-        elif tag == "img":
+        elif tag == "img" and self.n_images < 40:
+            self.n_images += 1
             self.images += [a[k] for k in ("alt", "title", "aria-label") if k in a]
         elif tag == "a":
             logo = "logo" in cls or self.logo > 0 or (
@@ -182,11 +183,10 @@ def _ld_phones(data) -> Iterator[str]:
         for key in ("telephone", "phone", "contactPoint"):
             values = data.get(key)
             for v in values if isinstance(values, list) else [values]:
-                v = v.get("telephone") if isinstance(v, dict) else v
-                if isinstance(v, str):
+                if isinstance(v, dict) and v.get("telephone"):
+                    yield str(v["telephone"])  # a number may be written without quotes
+                elif isinstance(v, str):
                     yield v
-                elif isinstance(v, int) and not isinstance(v, bool) and key == "contactPoint":
-                    yield str(v)
         for v in data.values():
             yield from _ld_phones(v)
 

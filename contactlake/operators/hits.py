@@ -28,6 +28,14 @@ def union_hits(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Primary hits, and for queries without any the first filled page of the fallback engine."""
+    keys = ["brief_id", "query"]
+    missing = fallback.join(primary.select(*keys).distinct(), keys, "left_anti")
+    first_page = missing.groupBy(*keys).agg(F.min("page").alias("page"))
+    return union_hits(primary, missing.join(first_page, [*keys, "page"], "left_semi"))
+
+
 def first_hits(hits: DataFrame, cap: int = V.HITS_PER_QUERY_MIN) -> DataFrame:
     """First hit per (brief, query, domain), at most ``cap`` of them per query in list order.
 

@@ -18,6 +18,7 @@ CHANNELS = {
     "ld text": ('<script type="application/ld+json">{"telephone": "84951112233"}</script>', "json-ld"),
     "ld list": ('<script type="application/ld+json">[{"phone": ["84951112233"]}]</script>', "json-ld"),
     "ld nested": ('<script type="application/ld+json">{"a":{"contactPoint":{"telephone":84951112233}}}</script>', "json-ld"),
+    "ld number": ('<script type="application/ld+json">{"phone":[{"telephone":84951112233}]}</script>', "json-ld"),
     "meta": ('<meta property="business:phone_number" content="84951112233">', "meta"),
     "tel": ('<a href="TEL:84951112233">call</a>', "tel"),
     "callto": ('<a href="callto:84951112233">call</a>', "callto"),

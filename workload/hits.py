@@ -18,7 +18,7 @@ from contactlake.functions.url import host
 from contactlake.operators import classify as C
 from contactlake.operators.hits import (
     catalog_urls, first_hits, group_by_domain, hit_stats, probe_counts, query_errors, reject_counts, union_hits,
-    with_reject_reason, cut_candidates,
+    with_fallback, with_reject_reason, cut_candidates,
 )
 from contactlake.sources.readers import dimension, read_hits
 from workload import common as W
@@ -125,6 +125,13 @@ def q_hits_union(spark, sf_dir):
     return union_hits(*parts, rest).groupBy("origin", "engine").agg(F.count("*").alias("n"))
 
 
+def q_hits_fallback(spark, sf_dir):
+    """Long documents are the primary engine, the others a fallback of three result pages."""
+    h = hits(spark, sf_dir).withColumn("page", F.col("pos") % 3)
+    long = F.length("snippet") > 6000
+    return with_fallback(h.where(long), h.where(~long)).select("brief_id", "query", "pos", "page")
+
+
 def q_domain_class(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("host"))
     h = F.col("host")
@@ -267,7 +274,7 @@ def q_hit_blob(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    q_hits_from_xml, q_hits_first_capped, q_hits_by_domain, q_hit_stats, q_query_errors, q_hits_union,
+    q_hits_from_xml, q_hits_first_capped, q_hits_by_domain, q_hit_stats, q_query_errors, q_hits_union, q_hits_fallback,
     q_domain_class, q_catalog_domains, q_junk, q_relevance, q_region_detect, q_region_filter, q_reject_reasons,
     q_reject_defaults, q_alive, q_candidates_cut, q_probe_counts, q_list_fields, q_exclude_list, q_error_class,
     q_labels, q_locale, q_year_mark, q_clean_phrase, q_phrase_tests, q_hit_blob)}
@@ -386,6 +393,11 @@ SQL = {
         FROM events WHERE event_type = 'error'""",
     "q_hits_union": f"""WITH {HITS_SQL} SELECT CASE WHEN brief_id IN ('en', 'de') THEN brief_id END AS origin,
         CASE WHEN brief_id IN ('en', 'de') THEN engine END AS engine, count(*) AS n FROM hits GROUP BY 1, 2""",
+    "q_hits_fallback": f"""WITH {HITS_SQL}, h AS (SELECT *, pos % 3 AS page, length(snippet) > 6000 AS main FROM hits),
+        m AS (SELECT *, min(page) OVER (PARTITION BY brief_id, query) AS first_page FROM h
+              WHERE NOT main AND (brief_id, query) NOT IN (SELECT (brief_id, query) FROM h WHERE main))
+        SELECT brief_id, query, pos, page FROM h WHERE main UNION ALL
+        SELECT brief_id, query, pos, page FROM m WHERE page = first_page""",
     "q_domain_class": f"""WITH p AS (SELECT page_id, {host_sql('url')} AS host FROM pages)
         SELECT page_id, host, {_OWN.replace('{h}', 'host')} AS excluded, {_AGG.replace('{h}', 'host')} AS aggregator,
         {in_domains_sql('host', W.AGGREGATORS)} AS listed, {_CLASS.replace('{h}', 'host')} AS domain_class FROM p""",
