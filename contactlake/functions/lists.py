@@ -123,5 +123,7 @@ def export_name(client_name: Column, run_id: Column, at: Column, ext: str, prefi
         F.nullif(F.substring(cleaned, 1, 80), F.lit("")),
         F.concat(F.lit(prefix + "-"), F.substring(run_id, 1, 8)),
     )
-    day = F.date_format(F.from_utc_timestamp(at, "GMT+3"), "dd-MM-yyyy")
+    # counted in days, so that the session time zone has no say
+    days = F.floor((F.unix_seconds(at) + 3 * 3600) / 86_400).cast("int")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "dd-MM-yyyy")
     return F.concat(base, F.lit(" "), day, F.lit("." + ext))

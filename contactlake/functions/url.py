@@ -100,7 +100,7 @@ def clean_site_input(text: Column) -> Column:
     """Site URL from free text: the first http(s) URL, else a bare host; NULL without a dotted host."""
     t = F.trim(text)
     found = F.regexp_extract(t, r"""(?i)https?://[^\s<>"'·|]+""", 0)
-    bare = rf"(?iu)[\w.\-]+\.({'|'.join(V.SITE_ZONES)})(?![\w])"
+    bare = rf"(?iuU)[\w.\-]+\.({'|'.join(V.SITE_ZONES)})(?![\w])"
     ending = r"[.,;)]+$"
     site = (
         F.when(found != "", F.regexp_replace(found, ending, ""))

@@ -68,21 +68,23 @@ def pick_by_site(unique: DataFrame, *site: str, policy: str = "business", plan:
                  limit: int = V.PHONES_OVERFLOW_MOBILE_MAX) -> DataFrame:
     """The keeping rule for sites with any number of contact rows.
 
-    Two top-k rankings per site: the first threshold + 1 numbers (enough to tell overflow)
-    and the best ``limit`` mobiles.  Both become group limits, so no site ever brings more
-    than threshold + limit + 1 rows into one task.
+    Two top-k lists per site: the first threshold + 1 numbers (enough to tell overflow) and
+    the best ``limit`` mobiles.  Each row is tagged for the lists it may enter and both are
+    ranked in one pass, so the input is read once.  The group limit cuts every map
+    partition, so no site brings more than a few rows per partition into one task.
     """
-    w = Window.partitionBy(*site)
-    head = (
-        unique.withColumn("n", F.row_number().over(w.orderBy("ord", "phone")))
-        .where(F.col("n") <= threshold + 1).withColumn("list", F.lit("head"))
+    tags = F.array(
+        F.struct(F.lit("head").alias("list"), F.lit(0).alias("grade")),
+        F.when(F.col("type") == "mobile", F.struct(F.lit("mobile").alias("list"), F.col("source_rank").alias("grade"))))
+    order = Window.partitionBy(*site, "list").orderBy("grade", "ord", "phone")
+    room = F.when(F.col("list") == "head", threshold + 1).otherwise(limit)
+    ranked = (
+        unique.select(*site, "phone", "ord", F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("t"))
+        .select(*site, "phone", "ord", "t.*")
+        .withColumn("n", F.row_number().over(order))
+        .where(F.col("n") <= max(threshold + 1, limit)).where(F.col("n") <= room)
     )
-    mobile = (
-        unique.where(F.col("type") == "mobile")
-        .withColumn("n", F.row_number().over(w.orderBy("source_rank", "ord", "phone")))
-        .where(F.col("n") <= limit).withColumn("list", F.lit("mobile"))
-    )
-    both = head.unionByName(mobile).groupBy(*site).agg(
+    both = ranked.groupBy(*site).agg(
         F.count_if(F.col("list") == "head").alias("n"),
         F.array_sort(F.collect_list(F.when(F.col("list") == "head", F.struct("n", "phone")))).alias("head"),
         F.array_sort(F.collect_list(F.when(F.col("list") == "mobile", F.struct("n", "phone")))).alias("mobile"),

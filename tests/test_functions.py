@@ -80,7 +80,7 @@ def test_clean_site_input(ev):
         ("angary-stroy.ru/service/angary/", "https://angary-stroy.ru/service/angary/"),
         ("https://opalubka-domstroy.ru", "https://opalubka-domstroy.ru/"),
         ("opalubka-domstroy.ru", "https://opalubka-domstroy.ru/"),
-        ("наш сайт (https://a.ru/x), звоните", "https://a.ru/x"), ("localhost", None), ("", None),
+        ("наш сайт (https://a.ru/x), звоните", "https://a.ru/x"), ("localhost", None), ("", None), ("пример.рф", "https://пример.рф/"), ("site.rux", "https://site.rux/"),
     ]
     assert ev(U.clean_site_input, [c for c, _ in cases]) == [w for _, w in cases]
 

@@ -53,7 +53,8 @@ def test_no_inferred_filter_repeats_the_extraction(spark):
 
 def test_top_k_plans(spark):
     rows = spark.createDataFrame([], "site STRING, ord INT, phone STRING, type STRING, source STRING, source_rank INT")
-    assert plan(C.pick_by_site(rows, "site")).count("WindowGroupLimit") >= 2
+    text = plan(C.pick_by_site(rows, "site"))
+    assert "WindowGroupLimit" in text and text.count("Window [") == 1
     pages = spark.createDataFrame([], "site STRING, url STRING, html STRING")
     assert "WindowGroupLimit" in plan(C.limit_visits(pages, 6, "url"))
 

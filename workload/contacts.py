@@ -14,6 +14,7 @@ from contactlake.operators.contacts import (
     crawl_results, first_per_site, limit_visits, phone_counts, pick_by_site, primary_secondary, text_contacts,
 )
 from contactlake.operators.links import expand_frontier, page_links, section_links, top_links
+from contactlake.session import stage
 from workload.common import (
     PLAIN_TEXT_SQL, contacts_sql, documents, host_sql, pages, q, table, type_sql,
 )
@@ -56,7 +57,7 @@ def q_contacts_text_trunk(spark, sf_dir):
 
 
 def q_contacts_html(spark, sf_dir):
-    contacts = H.page_contacts(pages(spark, sf_dir), NANP)
+    contacts = H.page_contacts(pages(spark, sf_dir).select("page_id", "html"), NANP)
     return H.contact_rows(contacts, "page_id").select(
         "page_id", "phone", "type",
         F.when(F.col("source").isin("footer", "nav", "header"), F.col("source")).otherwise("body").alias("zone"))
@@ -85,7 +86,7 @@ def q_primary_phones(spark, sf_dir):
 
 
 def q_phone_overflow(spark, sf_dir):
-    unique = first_per_site(_doc_rows(spark, sf_dir, "lang"), "site")
+    unique = stage(first_per_site(_doc_rows(spark, sf_dir, "lang"), "site"))
     kept = pick_by_site(unique, "site", plan=NANP, threshold=2, limit=2)
     counts = phone_counts(unique, kept, "site", threshold=2)
     return counts.join(kept.select("site", F.array_join("phones", ",").alias("phones")), "site").select(
@@ -111,7 +112,7 @@ def q_first_contact_page(spark, sf_dir):
 
 def q_snippet_fallback(spark, sf_dir):
     """Numbers of the page, else those of the document of the same number."""
-    site = H.page_contacts(pages(spark, sf_dir), NANP).select("page_id", F.col("contacts").alias("site_contacts"))
+    site = H.page_contacts(pages(spark, sf_dir).select("page_id", "html"), NANP).select("page_id", F.col("contacts").alias("site_contacts"))
     texts = _doc_contacts(spark, sf_dir).select("doc_id", "contacts")
     joined = site.join(texts, site.page_id == texts.doc_id, "left")
     has_site = F.size("site_contacts") > 0
