@@ -5,6 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
+from contactlake.functions import let
 from contactlake.functions.lists import one_of, phrase_contains
 
 _WS = f"[{V.WHITE_SPACE}]"
@@ -83,57 +84,61 @@ def mostly_caps(s: Column) -> Column:
 
 def contains_brand(phrase: Column, brand: Column) -> Column:
     """At least half of the words are brand tokens, or contain or lie in one."""
-    ws = F.regexp_extract_all(F.lower(phrase), F.lit("([a-zа-яё0-9]+)"), F.lit(1))
-    hits = F.filter(ws, lambda w: F.exists(brand, lambda b: F.contains(b, w) | F.contains(w, b)))
-    return (F.size(ws) > 0) & (F.size(hits) >= F.greatest(F.lit(1), F.floor(F.size(ws) / 2)))
+    found = F.regexp_extract_all(F.lower(phrase), F.lit("([a-zа-яё0-9]+)"), F.lit(1))
+    return let(found, lambda ws: (F.size(ws) > 0) & (
+        F.size(F.filter(ws, lambda w: F.exists(brand, lambda b: F.contains(b, w) | F.contains(w, b))))
+        >= F.greatest(F.lit(1), F.floor(F.size(ws) / 2))))
 
 
 def has_service_sense(phrase: Column) -> Column:
-    low = F.lower(phrase)
-    ws = F.filter(
-        F.regexp_extract_all(low, F.lit("([а-яёa-z]{4,})"), F.lit(1)),
-        lambda w: ~one_of(w, V.PHRASE_STOP_WORDS),
-    )
-    return phrase_contains(low, V.SERVICE_HINTS) | (F.size(ws) >= 2)
+    def sense(low: Column) -> Column:
+        ws = F.filter(
+            F.regexp_extract_all(low, F.lit("([а-яёa-z]{4,})"), F.lit(1)),
+            lambda w: ~one_of(w, V.PHRASE_STOP_WORDS),
+        )
+        return phrase_contains(low, V.SERVICE_HINTS) | (F.size(ws) >= 2)
+
+    return let(F.lower(phrase), sense)
 
 
 def looks_like_query(phrase: Column) -> Column:
-    low = strip(F.lower(phrase))
-    ws = words(low)
-    starter = low.rlike(f"^(?:{'|'.join(V.QUERY_STARTERS)})")
-    return (
-        (F.size(ws) >= 2)
-        & ~F.coalesce(one_of(F.get(ws, F.lit(0)), V.BAD_QUERY_START), F.lit(False))
-        & (starter | ((F.size(ws) >= 3) & has_service_sense(low)))
-    )
+    starter = f"^(?:{'|'.join(V.QUERY_STARTERS)})"
+
+    def judged(low: Column, ws: Column) -> Column:
+        first_bad = F.coalesce(one_of(F.get(ws, F.lit(0)), V.BAD_QUERY_START), F.lit(False))
+        return (F.size(ws) >= 2) & ~first_bad & (
+            low.rlike(starter) | ((F.size(ws) >= 3) & has_service_sense(low)))
+
+    return let(strip(F.lower(phrase)), lambda low: let(words(low), lambda ws: judged(low, ws)))
 
 
 def section_junk(phrase: Column) -> Column:
-    low = strip(F.lower(phrase))
-    short = (
-        (F.size(words(low)) <= 4) & phrase_contains(low, V.SECTION_WORDS)
-        & ~phrase_contains(low, V.SECTION_EXCUSES)
-    )
-    return low.rlike(V.SECTION_JUNK) | (mostly_caps(phrase) & (F.length(phrase) >= 10)) | short
+    def junk(low: Column) -> Column:
+        short = (
+            phrase_contains(low, V.SECTION_WORDS) & ~phrase_contains(low, V.SECTION_EXCUSES)
+            & (F.size(words(low)) <= 4)
+        )
+        return low.rlike(V.SECTION_JUNK) | short
+
+    return let(strip(F.lower(phrase)), junk) | ((F.length(phrase) >= 10) & mostly_caps(phrase))
 
 
 def query_worthy(p: Column, brand: Column) -> Column:
     """Whether a cleaned phrase may serve as a search query."""
-    sense = has_service_sense(p)
-    bad = (
-        section_junk(p)
-        | (mostly_caps(p) & (F.length(p) > 18))
-        | (contains_brand(p, brand) & ~sense)
-        | (~sense & (F.length(p) < 14))
-    )
-    return F.coalesce(~bad, F.lit(False))
+    good = let(has_service_sense(p), lambda sense: F.when(~sense & (F.length(p) < 14), False).otherwise(
+        ~section_junk(p) & ~((F.length(p) > 18) & mostly_caps(p)) & (sense | ~contains_brand(p, brand))))
+    return F.coalesce(good, F.lit(False))
 
 
-def first_by_lower(phrases: Column, limit: int) -> Column:
-    """First of each phrase regardless of case, in order, at most ``limit``."""
-    return F.aggregate(
-        phrases, F.array().cast("array<string>"),
-        lambda acc, p: F.when(
-            (F.size(acc) >= limit) | F.exists(acc, lambda a: F.lower(a) == F.lower(p)), acc,
-        ).otherwise(F.concat(acc, F.array(p))),
-    )
+def first_by_lower(phrases: Column, limit: int, keep=None) -> Column:
+    """First of each phrase regardless of case, in order, at most ``limit``.
+
+    ``keep`` is the costly test: it is asked only for new phrases while there is room.
+    """
+    def step(acc: Column, p: Column) -> Column:
+        full = (F.size(acc) >= limit) | F.exists(acc, lambda a: F.lower(a) == F.lower(p))
+        stay = F.when(full, acc)
+        more = F.concat(acc, F.array(p))
+        return stay.otherwise(more) if keep is None else stay.when(keep(p), more).otherwise(acc)
+
+    return F.aggregate(phrases, F.array().cast("array<string>"), step)

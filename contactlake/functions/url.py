@@ -5,6 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
+from contactlake.functions import let
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
@@ -73,7 +74,7 @@ def normalize_url(url: Column, base: Column | None = None) -> Column:
     """http(s) scheme, lower-cased host, path (default ``/``) and query; NULL when there is no host."""
     raw = F.nullif(F.trim(url), F.lit(""))
     if base is not None:
-        raw = resolve(raw, base)
+        return let(resolve(raw, base), lambda absolute: normalize_url(absolute))
     raw = F.when(F.contains(raw, F.lit("://")), raw).otherwise(F.concat(F.lit("https://"), raw))
     scheme = F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
     authority = netloc(raw)
@@ -110,8 +111,8 @@ def clean_site_input(text: Column) -> Column:
         )
         .otherwise(t)
     )
-    url = normalize_url(site)
-    return F.when(F.contains(netloc(url), F.lit(".")), url)
+    return let(site, lambda s: let(
+        normalize_url(s), lambda url: F.when(F.contains(netloc(url), F.lit(".")), url)))
 
 
 def host_suffixes(h: Column) -> Column:

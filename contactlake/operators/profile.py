@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
+from contactlake.functions import let
 from contactlake.functions import text as T
 from contactlake.functions.lists import contains_any, count_contained, exclude_list, one_of
 from contactlake.functions.url import host
@@ -128,11 +129,9 @@ def brand_tokens(site: Column, title: Column, hints: Column, orgs: Column) -> Co
         F.concat(F.array(base, short), named), lambda t: F.length(t) >= 4))
 
 
-def _worthy(phrases: Column, brand: Column) -> Column:
-    """Phrases whose cleaned form may serve as a query; the phrase itself is kept."""
-    pairs = F.transform(phrases, lambda p: F.struct(p.alias("p"), T.tidy(p).alias("c")))
-    good = F.filter(pairs, lambda x: T.phrase_ok(x["c"]) & T.query_worthy(x["c"], brand))
-    return F.transform(good, lambda x: x["p"])
+def _worthy(brand: Column):
+    """Test whether the cleaned form of a phrase may serve as a query."""
+    return lambda p: let(T.tidy(p), lambda c: F.when(T.phrase_ok(c), T.query_worthy(c, brand)).otherwise(False))
 
 
 def normalize_offerings(phrases: Column) -> Column:
@@ -147,7 +146,7 @@ _BODY_PHRASE = r"([а-яёa-z][а-яёa-z\-]{3,}(?:\s+[а-яёa-z][а-яёa-z\-]
 def offerings(brand: Column, limit: int = 10) -> Column:
     """Headings, list items, schema names, description sentences, body phrases, in that order."""
     def off_brand(p: Column) -> Column:
-        return T.contains_brand(p, brand) & ~T.has_service_sense(p)
+        return ~T.has_service_sense(p) & T.contains_brand(p, brand)
 
     heads = F.filter(
         T.clean_phrases(F.transform(F.filter("headings", lambda x: x["level"] != "h1"), lambda x: x["text"])),
@@ -164,7 +163,7 @@ def offerings(brand: Column, limit: int = 10) -> Column:
         lambda p: F.length(p).between(18, 65) & T.looks_like_query(p))
     body = F.filter(T.clean_phrases(phrases), lambda p: ~T.section_junk(p))
     return T.first_by_lower(
-        _worthy(normalize_offerings(F.concat(heads, listed, described, body)), brand), limit)
+        normalize_offerings(F.concat(heads, listed, described, body)), limit, _worthy(brand))
 
 
 def with_queries(df: DataFrame, brand: str = "brand", limit: int = 14) -> DataFrame:
@@ -201,10 +200,10 @@ def with_queries(df: DataFrame, brand: str = "brand", limit: int = 14) -> DataFr
         .withColumn("_cores", F.filter(normalize_offerings(base), lambda c: F.length(c) <= 45))
         .withColumn("_direct", F.transform(
             F.concat(F.slice("offerings", 1, 8), extra.otherwise(served)), T.squeeze))
-        .withColumn("_plain", T.first_by_lower(_worthy(F.col("_direct"), F.col(brand)), 100))
+        .withColumn("_plain", T.first_by_lower(F.col("_direct"), 100, _worthy(F.col(brand))))
         .withColumn("_cities", cities)
         .withColumn("queries", T.first_by_lower(
-            F.concat("_plain", _worthy(F.col("_cities"), F.col(brand))), limit))
+            F.concat("_plain", F.filter("_cities", _worthy(F.col(brand)))), limit))
         .drop("_blob", "_cores", "_direct", "_plain", "_cities")
     )
 
