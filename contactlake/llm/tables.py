@@ -2,10 +2,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import zipfile
 
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,16 +21,16 @@ def on_workers(df: DataFrame) -> DataFrame:
     """The same rows; workers can import this package from now on."""
     sc = df.sparkSession.sparkContext
     if sc.applicationId not in _shipped:
-        # Spark hands the archive to executors itself, so a folder of the driver will do
-        with tempfile.TemporaryDirectory() as d:
-            path = os.path.join(d, f"{os.path.basename(_PACKAGE)}.zip")
-            with zipfile.ZipFile(path, "w") as z:
-                for folder, _, names in os.walk(_PACKAGE):
-                    for n in names:
-                        if n.endswith(".py"):
-                            full = os.path.join(folder, n)
-                            z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
-            sc.addPyFile(path)
+        # beside the files that Spark itself serves to executors, and cleared with them
+        folder = os.path.join(SparkFiles.getRootDirectory(), "package")
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, f"{os.path.basename(_PACKAGE)}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(_PACKAGE):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(_PACKAGE)))
+        sc.addPyFile(path)
         _shipped.add(sc.applicationId)
     return df
 
