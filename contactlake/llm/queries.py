@@ -7,12 +7,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactlake.llm import mixing, packing, shards, tokens
+from contactlake.llm import gif, mixing, neighbours, packing, quality, shards, tokens, toxicity
 from contactlake.llm.tables import read
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 SHARDS = 24
+QUALITY_FROM = 0.3
+TOXIC_FROM = 0.7
+QUERY_EVERY = 20
+
+
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.text_media(read(spark, sf_dir, "documents"), keep_media=False)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=QUALITY_FROM)
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read(spark, sf_dir, "embeddings"), QUERY_EVERY)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +39,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT, end_id=1)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=TOXIC_FROM)
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.balanced_shards(read(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -36,5 +55,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_token_counts, op7_packing, op9_shards, op10_mixing)}
+    f.__name__: f for f in (op3_gif, op4_quality, op5_neighbours, op6_token_counts, op7_packing, op8_toxicity, op9_shards,
+                            op10_mixing)}
 SQL: dict[str, str] = {}
