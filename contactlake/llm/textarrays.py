@@ -13,6 +13,9 @@ import pyarrow as pa
 
 # A block ends with the document that takes it to this many bytes; documents are never cut.
 BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 1 << 16
+# Bits of a shingle's hash.
+SHINGLE_BITS = 47
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -78,7 +81,7 @@ def blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     _, at = string_block(batch.column(text))
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BLOCK_BYTES, "right")) - 1)
+        hi = max(lo + 1, min(lo + BLOCK_ROWS, int(np.searchsorted(at, at[lo] + BLOCK_BYTES, "right")) - 1))
         yield batch.slice(lo, hi - lo)
         lo = hi
 
@@ -125,7 +128,10 @@ class Sets(NamedTuple):
 
 
 def shingle_sets(w: Words, width: int = 5) -> Sets:
-    """Distinct runs of ``width`` words of each document; a shorter text is one run, an empty one none."""
+    """Distinct runs of ``width`` words of each document; a shorter text is one run, an empty one none.
+
+    A block has at most BLOCK_ROWS documents.
+    """
     rows = len(w.first) - 1
     count = np.diff(w.first)
     total = len(w.hash)
@@ -145,9 +151,9 @@ def shingle_sets(w: Words, width: int = 5) -> Sets:
             short[has] += mix(w.hash[w.first[few[has]] + k]) * np.uint64(_STEP[k % len(_STEP)] + 2 * (k // len(_STEP)))
         short = mix(short + count[few].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         run, doc = np.concatenate([run, short]), np.concatenate([doc, few])
-    order = np.lexsort((run, doc))
-    run, doc = run[order], doc[order]
-    keep = np.ones(len(run), bool)
-    keep[1:] = (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])
-    run, doc = run[keep], doc[keep]
-    return Sets(np.searchsorted(doc, np.arange(rows + 1)), run)
+    # the document above the hash in one number, so that one plain sort serves both
+    key = doc.astype(np.uint64) << np.uint64(SHINGLE_BITS) | run >> np.uint64(64 - SHINGLE_BITS)
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    first = np.searchsorted(key, np.arange(rows + 1, dtype=np.uint64) << np.uint64(SHINGLE_BITS))
+    return Sets(first, key & np.uint64((1 << SHINGLE_BITS) - 1))
