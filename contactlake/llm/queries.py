@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactlake.llm import gif, jaccard, mixing, neighbours, packing, quality, shards, tokens, toxicity
+from contactlake.llm import gif, jaccard, language, mixing, neighbours, packing, quality, shards, tokens, toxicity
 from contactlake.llm.tables import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents")).drop("set_id")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_scores(read(spark, sf_dir, "documents"))
+
+
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.text_media(read(spark, sf_dir, "documents"), keep_media=False)
 
@@ -59,6 +63,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jaccard, op3_gif, op4_quality, op5_neighbours, op6_token_counts, op7_packing, op8_toxicity,
-                            op9_shards, op10_mixing)}
+    f.__name__: f for f in (op1_jaccard, op2_language, op3_gif, op4_quality, op5_neighbours, op6_token_counts, op7_packing,
+                            op8_toxicity, op9_shards, op10_mixing)}
 SQL: dict[str, str] = {}
