@@ -4,7 +4,8 @@
 2. Shingles that stand in many sets are counted; a set's rarest shingles are its prefix, and two
    sets that link share one of them.  Lists of sets that share a prefix shingle are split where
    sizes are too far apart, and equal lists are kept once.
-3. A few pairs of each list are verified, which joins most true groups.
+3. Each list's hub, the set that stands in most lists, is verified against all its sets; that joins
+   most true groups, since the least changed copy of a group shares its lists with all it links to.
 4. In lists that still hold several components an R-tree over count vectors (shingles hashed
    into groups) finds the pairs of different components whose overlap bound, the summed
    coordinate minima, allows a link; these are verified as well.
@@ -49,18 +50,23 @@ def set_ids(s: Sets) -> np.ndarray:
 
 
 def group_count(n: int) -> int:
-    """Coordinates of a set's count vector: a power of two of about a third of its size."""
-    return min(4096, max(16, 1 << max(0, int(n) // 4).bit_length()))
+    """Coordinates of a set's count vector: a power of two of about three quarters of its size."""
+    return min(8192, max(16, 1 << (int(n) // 2).bit_length()))
 
 
 def count_vector(members: np.ndarray) -> np.ndarray:
-    return np.bincount((members & np.uint64(group_count(len(members)) - 1)).astype(np.int64),
-                       minlength=group_count(len(members))).astype(np.uint16)
+    """Shingles of each group, one byte a group unless one needs two."""
+    v = np.bincount((members & np.uint64(group_count(len(members)) - 1)).astype(np.int64), minlength=group_count(len(members)))
+    return v.astype(np.uint8 if v.max() < 256 else np.uint16)
+
+
+def read_vector(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == group_count(n) else np.uint16)
 
 
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
     """The count vector over fewer groups."""
-    return vector if len(vector) == groups else vector.reshape(-1, groups).sum(axis=0).astype(np.uint16)
+    return (vector if len(vector) == groups else vector.reshape(-1, groups).sum(axis=0)).astype(np.uint16)
 
 
 class CountTree:
@@ -296,7 +302,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
         for b in batches:
             ok = []
             for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("va", "vb", "na", "nb"))):
-                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                x, y = read_vector(x, n), read_vector(y, m)
                 g = min(len(x), len(y))
                 ok.append(den * min(n, m) >= num * max(n, m)
                           and int(np.minimum(fold(x, g), fold(y, g)).sum(dtype=np.int64)) >= _needed(n, m, num, den))
@@ -323,11 +329,13 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
         return stage(left.join(side({"members": "mb"}, "b"), "b").join(side({"members": "ma"}, "a"), "a")
                      .mapInArrow(linked, "a LONG, b LONG"))
 
-    # the two sets with the lowest and the highest hash of a list against all, every pair of a small one
-    by_hash = F.array_sort(F.transform("sids", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s"))))
-    centre = F.when(F.size("sids") <= SMALL_LIST, F.col("sids")).otherwise(
-        F.array(F.element_at(by_hash, 1)["s"], F.element_at(by_hash, -1)["s"]))
-    seeds = stage(lists.select(F.explode(centre).alias("x"), "sids").select("x", F.explode("sids").alias("y"))
+    # the hub of a list and one set more against all, every pair of a small one
+    standing = lists.select("list", F.explode("sids").alias("sid"))
+    degree = standing.groupBy("sid").agg(F.count("*").alias("lists"))
+    hubs = stage(standing.join(degree, "sid").groupBy("list").agg(
+        F.max_by("sid", F.struct("lists", F.xxhash64("sid"))).alias("hub"), F.min_by("sid", F.xxhash64("sid")).alias("other")))
+    centre = F.when(F.size("sids") <= SMALL_LIST, F.col("sids")).otherwise(F.array("hub", "other"))
+    seeds = stage(lists.join(hubs, "list").select(F.explode(centre).alias("x"), "sids").select("x", F.explode("sids").alias("y"))
                   .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links = verify(seeds)
     home = stage(components(links))
@@ -337,16 +345,19 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
                .join(home.withColumnRenamed("node", "sid"), "sid", "left")
                .select("list", "sid", F.coalesce("root", "sid").alias("root")))
     mixed = (entries.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list"))
-    open_ = (entries.join(mixed, "list", "left_semi").join(side({"vector": "vector", "n": "n"}, "sid"), "sid")
-             .withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(4 * tasks))))
+    # lists of one hub overlap much, so they share a bucket, where a pair is kept once
+    open_ = (entries.join(mixed.join(hubs, "list"), "list").join(side({"vector": "vector", "n": "n"}, "sid"), "sid")
+             .withColumn("bucket", F.pmod(F.xxhash64("hub"), F.lit(16 * tasks))))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros((0, 2), np.int64)]
+        found, waiting = np.zeros((0, 2), np.int64), []
         for _, g in pdf.groupby("list", sort=False):
             component = np.unique(g["root"], return_inverse=True)[1]
-            found.append(list_pairs(g["sid"].to_numpy(), g["n"].to_numpy(), component,
-                                    [np.frombuffer(v, np.uint16) for v in g["vector"]], num, den))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+            waiting.append(list_pairs(g["sid"].to_numpy(), g["n"].to_numpy(), component,
+                                      [read_vector(v, n) for v, n in zip(g["vector"], g["n"])], num, den))
+            if sum(map(len, waiting)) > 1 << 20:
+                found, waiting = np.unique(np.concatenate([found, *waiting]), axis=0), []
+        return pd.DataFrame(np.unique(np.concatenate([found, *waiting]), axis=0), columns=["a", "b"])
 
     rest = stage(open_.groupBy("bucket").applyInPandas(search, "a LONG, b LONG").distinct().join(seeds, ["a", "b"], "left_anti"))
     more = verify(rest)
