@@ -241,8 +241,8 @@ def language_scores(docs: DataFrame, modulus: int = 7, held_remainder: int = 2,
         h, at = np.unique(np.frombuffer(b"".join(pdf["words"]), np.uint64), return_inverse=True)
         n = np.bincount(at, np.frombuffer(b"".join(pdf["counts"]), np.uint32), len(h)).astype(np.int64)
         often = n >= 16
-        return pd.DataFrame({"word": [None, *h[often].view(np.int64).tolist()], "n": [int(n.sum()), *n[often].tolist()],
-                             "kinds": [len(h), *[0] * int(often.sum())]}).astype({"word": "Int64"})
+        return pd.DataFrame({"word": pd.array([None, *h[often].view(np.int64).tolist()], "Int64"),
+                             "n": [int(n.sum()), *n[often].tolist()], "kinds": [len(h), *[0] * int(often.sum())]})
 
     counted = stage(texts.select("text", "held_out").mapInArrow(count, "shard INT, words BINARY, counts BINARY")
                     .groupBy("shard").applyInPandas(add_up, "word LONG, n LONG, kinds LONG"))
