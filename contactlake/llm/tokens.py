@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -18,6 +17,9 @@ from contactlake.llm.textarrays import blocks
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
+# Letters whose kind, case and composition are the same in every version of Unicode's tables.
+_SETTLED = regex.compile(r"[\x00-\u024f]*").fullmatch
+
 # Known words kept by one worker; beyond this the memory starts again.
 REMEMBERED = 600_000
 _NONE = np.int32(2**31 - 1)
@@ -40,6 +42,7 @@ class WordBpe:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self._special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self._word = regex.compile(WORD_PATTERN)
+        self._path, self._library = path, None
         letters = byte_letters()
         self._inner = np.array([vocab[c] for c in letters], np.int32)
         self._last = np.array([vocab[c + WORD_END] for c in letters], np.int32)
@@ -87,11 +90,22 @@ class WordBpe:
         if self._special.search(text):
             specials, parts = len(self._special.findall(text)), self._special.split(text)
         for part in parts:
-            # letter by letter, without the rule for a final sigma
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            out += [w.encode() for w in self._word.findall(part)]
+            if _SETTLED(part):
+                out += [w.encode() for w in self._word.findall(part.lower())]
+            else:
+                out += self._by_library(part)
         return out, specials
 
+    def _by_library(self, part: str) -> list[bytes]:
+        """Words as the library's own tables of letters and digits find them."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+            self._byte = {c: b for b, c in enumerate(byte_letters())}
+        plain = self._library.normalizer.normalize_str(part)
+        return [bytes(map(self._byte.__getitem__, w)) for w, _ in self._library.pre_tokenizer.pre_tokenize_str(plain)]
+
     def merge_counts(self, words: list[bytes]) -> np.ndarray:
         """Symbols left of each word when its lowest-ranked pair is merged until none is left."""
         size = np.fromiter(map(len, words), np.int64, len(words))
