@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactlake.llm.tables import on_workers, stage
+from contactlake.llm.tables import on_workers, stage, task_count
 
 # Vectors the two codebooks are fitted on; every vector is indexed.
 FIT_ROWS = 20_000
@@ -159,8 +159,9 @@ def nearest_neighbours(vectors: DataFrame, query_every: int, k: int = 20, id_col
         "block", (F.col("_first") + F.pmod(F.xxhash64("vec_id"), F.col("_parts"))).cast("int"))
 
     wanted = max(VISIT_ROWS, int(share * total))
-    # of rows that share a query's id the smallest vector asks
-    queries = indexed.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    # of rows that share a query's id the smallest vector asks; few small rows, but dear ones
+    queries = indexed.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec")).repartition(
+        task_count(spark), "vec_id")
     chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
 
     def visit(batches):
