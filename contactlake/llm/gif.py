@@ -91,7 +91,7 @@ def pack_codes(codes: np.ndarray, literal_bits: int = 8) -> bytes:
     fresh = np.zeros(len(codes), bool)
     fresh[1:] = codes[:-1] == clear
     begin = np.maximum.accumulate(np.where(fresh, at, 0))
-    width = width_after[at - begin]
+    width = width_after[np.minimum(at - begin, len(width_after) - 1)]
     width[0] = literal_bits + 1
     bit = np.cumsum(width) - width
     spread = codes << (bit & 7)
