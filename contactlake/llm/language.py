@@ -28,7 +28,7 @@ from contactlake.llm.textarrays import Words, blocks, mix, string_block, words
 # Words that are contexts of their own; with the class of other words and the start they fit in 16 bits.
 CONTEXTS = 65_534
 _OTHER, _START = 0, 65_535
-PRIOR = 60_000.0
+PRIOR = 4_000.0
 # Steps of stored log10 probabilities; they are rounded down.
 STEPS = 4_096
 END = np.uint64(0x5851F42D4C957F2D)

@@ -65,7 +65,7 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize("prior", [2.0, 60_000.0])
+@pytest.mark.parametrize("prior", [2.0, 4_000.0])
 def test_scores_of_odd_rows(spark, prior):
     rows = [(r[0], r[1], held(r[0])) for r in odd_rows()]
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
