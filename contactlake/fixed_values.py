@@ -14,6 +14,9 @@ HITS_PER_QUERY_MIN = 100
 DEFAULT_MAX_SITES = 50
 MIN_SITES, MAX_SITES = 10, 200
 MIN_DEPTH, MAX_DEPTH = 1, 5
+DEFAULT_DEPTH = 2
+GUIDE_MARK = "kudagid"
+BRIEF_SOURCES = ("serp", "site", "catalog")
 PAGE_SIZE = 50
 
 # --- phone patterns (Java regex; WHITE_SPACE is the Unicode white space set) ---

@@ -130,13 +130,14 @@ def query_worthy(p: Column, brand: Column) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def first_by_lower(phrases: Column, limit: int, keep=None) -> Column:
-    """First of each phrase regardless of case, in order, at most ``limit``.
+def first_by_lower(phrases: Column, limit: int | None, keep=None) -> Column:
+    """First of each phrase regardless of case, in order, at most ``limit`` if there is one.
 
     ``keep`` is the costly test: it is asked only for new phrases while there is room.
     """
     def step(acc: Column, p: Column) -> Column:
-        full = (F.size(acc) >= limit) | F.exists(acc, lambda a: F.lower(a) == F.lower(p))
+        full = F.exists(acc, lambda a: F.lower(a) == F.lower(p))
+        full = full if limit is None else (F.size(acc) >= limit) | full
         stay = F.when(full, acc)
         more = F.concat(acc, F.array(p))
         return stay.otherwise(more) if keep is None else stay.when(keep(p), more).otherwise(acc)

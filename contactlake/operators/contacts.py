@@ -116,20 +116,21 @@ def limit_visits(pages: DataFrame, max_pages: int, *order: str) -> DataFrame:
     )
 
 
-def one_per_visit(parsed: DataFrame, page_chars: int = 8000) -> DataFrame:
+def one_per_visit(parsed: DataFrame, page_chars: int = 8000, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """Of several addresses of one position (http and https, with and without www) the smallest url."""
     cut = parsed.withColumn("body", F.substring("body", 1, page_chars))
-    return cut.groupBy("site", "visit").agg(
-        F.min_by(F.struct("title", "body", "contacts"), "url").alias("p")).select("site", "visit", "p.*")
+    return cut.groupBy(*keys, "visit").agg(
+        F.min_by(F.struct("title", "body", "contacts"), "url").alias("p")).select(*keys, "visit", "p.*")
 
 
-def crawl_results(parsed: DataFrame, page_chars: int = 8000, site_chars: int = 6000) -> DataFrame:
+def crawl_results(parsed: DataFrame, page_chars: int = 8000, site_chars: int = 6000,
+                  keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """One row per site: visiting stops at the first page with a number.
 
     ``parsed``: site, visit, title, body, contacts, already cut to the page budget, so a
     site has at most fifteen rows here and the sorted list is bounded.
     """
-    visits = parsed.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(
+    visits = parsed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         "visit", "title", F.substring("body", 1, page_chars).alias("body"), "contacts"))).alias("all"))
     with_phone = F.filter("all", lambda v: F.size(v["contacts"]) > 0)
     stop = F.get(with_phone, F.lit(0))["visit"]
@@ -139,7 +140,7 @@ def crawl_results(parsed: DataFrame, page_chars: int = 8000, site_chars: int = 6
         visits.withColumn("first", F.get(with_phone, F.lit(0)))
         .withColumn("stop", stop).withColumn("seen", seen)
         .select(
-            "site",
+            *keys,
             F.col("stop").alias("found_at"),
             F.coalesce(F.get(titles, F.lit(0))["title"], F.lit("")).alias("title"),
             F.substring(F.array_join(F.transform("seen", lambda v: v["body"]), "\n"), 1, site_chars).alias("text"),

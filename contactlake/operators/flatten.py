@@ -156,7 +156,7 @@ class _Flattener(HTMLParser):
     def read_ld(self, raw: str) -> None:
         try:
             data = json.loads(raw)
-        except ValueError:
+        except (ValueError, RecursionError):  # not JSON, or nested beyond reading
             return
         self.ld += [{"kind": "phone", "value": v} for v in _ld_phones(data)]
         for item in data if isinstance(data, list) else [data]:
@@ -175,25 +175,31 @@ class _Flattener(HTMLParser):
 
 
 def _ld_phones(data) -> Iterator[str]:
-    """Numbers under telephone / phone / contactPoint, at any depth."""
-    if isinstance(data, list):
-        for item in data:
-            yield from _ld_phones(item)
-    elif isinstance(data, dict):
-        for key in ("telephone", "phone", "contactPoint"):
-            values = data.get(key)
-            for v in values if isinstance(values, list) else [values]:
-                if isinstance(v, dict) and v.get("telephone"):
-                    yield str(v["telephone"])  # a number may be written without quotes
-                elif isinstance(v, str):
-                    yield v
-        for v in data.values():
-            yield from _ld_phones(v)
+    """Numbers under telephone / phone / contactPoint, at any depth, outer ones first."""
+    waiting = [data]
+    while waiting:
+        at = waiting.pop()
+        if isinstance(at, list):
+            waiting += reversed(at)
+        elif isinstance(at, dict):
+            for key in ("telephone", "phone", "contactPoint"):
+                values = at.get(key)
+                for v in values if isinstance(values, list) else [values]:
+                    if isinstance(v, dict) and v.get("telephone"):
+                        yield _sound(str(v["telephone"]))  # a number may be written without quotes
+                    elif isinstance(v, str):
+                        yield _sound(v)
+            waiting += reversed(at.values())
+
+
+def _sound(text: str) -> str:
+    """The text with halves of surrogate pairs, which JSON can name, replaced."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def _ld_names(item: dict, kinds: tuple, org: bool) -> list[dict]:
     def text(v) -> str:
-        return v.strip() if isinstance(v, str) else ""
+        return _sound(v).strip() if isinstance(v, str) else ""
 
     kind, name, out = item.get("@type"), text(item.get("name")), []
     if name and isinstance(kind, str) and kind in kinds:
@@ -206,9 +212,13 @@ def _ld_names(item: dict, kinds: tuple, org: bool) -> list[dict]:
 
 
 def _flatten(html: str | None) -> dict:
+    """Flat form of one page; what a page gave before the parser gave up on it is kept."""
     parser = _Flattener()
-    parser.feed(html or "")
-    parser.close()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except (ValueError, AssertionError, RecursionError):
+        pass
     return parser.result()
 
 

@@ -5,19 +5,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
-from contactlake.operators.classify import domain_class, hit_region_ok, is_catalog, is_relevant
+from contactlake.operators.classify import domain_class, hit_region_ok, is_catalog, is_junk, is_relevant
 from contactlake.functions.text import hit_blob
 
-LARGEST_WINDOW = max(V.MAX_SITES + 20, V.MAX_SITES * 14 // 10)
 HIT_FIELDS = ("url", "title", "snippet", "engine", "page", "source")
 
 
-def hits_cap(max_sites: int) -> int:
-    return max(V.HITS_PER_QUERY_MIN, max_sites * 3)
+def hits_cap(max_sites: Column) -> Column:
+    """Hits kept per query of a brief that wants ``max_sites`` sites."""
+    return F.greatest(F.lit(V.HITS_PER_QUERY_MIN), max_sites * 3)
+
+
+def probe_window(max_sites):
+    """Candidates that are probed for a brief that wants ``max_sites`` sites."""
+    if isinstance(max_sites, int):
+        return max(max_sites + 20, max_sites * 14 // 10)
+    return F.greatest(max_sites + 20, F.floor(max_sites * F.lit(1.4))).cast("int")
 
 
 def clamp(value: Column, low: int, high: int, default: int) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value, F.lit(default))))
+    """The value within its bounds; nothing and zero mean the default."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(F.nullif(value, F.lit(0)), F.lit(default))))
 
 
 def union_hits(*sources: DataFrame) -> DataFrame:
@@ -36,11 +44,12 @@ def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     return union_hits(primary, missing.join(first_page, [*keys, "page"], "left_semi"))
 
 
-def first_hits(hits: DataFrame, cap: int = V.HITS_PER_QUERY_MIN) -> DataFrame:
-    """First hit per (brief, query, domain), at most ``cap`` of them per query in list order.
+def first_hits(hits: DataFrame, cap: int | None = None, caps: DataFrame | None = None) -> DataFrame:
+    """First hit per (brief, query, domain), in list order; ``caps`` (brief_id, hits_cap) bounds
+    them per query of each brief, ``cap`` those of all.
 
     The first step is a hash aggregate with map-side combine, so a domain holding a
-    third of all hits shrinks before the shuffle.  The cap becomes a window group
+    third of all hits shrinks before the shuffle.  ``cap`` becomes a window group
     limit, which also cuts every map partition down to ``cap`` rows per query.
     """
     fields = [c for c in HIT_FIELDS if c in hits.columns]
@@ -49,11 +58,12 @@ def first_hits(hits: DataFrame, cap: int = V.HITS_PER_QUERY_MIN) -> DataFrame:
         .agg(F.min("pos").alias("pos"), F.min_by(F.struct(*fields), "pos").alias("h"))
     )
     order = Window.partitionBy("brief_id", "query").orderBy("pos")
-    return (
-        first.withColumn("rank_in_query", F.row_number().over(order))
-        .where(F.col("rank_in_query") <= cap)
-        .select("brief_id", "query", "domain", "pos", "h.*", "rank_in_query")
-    )
+    ranked = first.withColumn("rank_in_query", F.row_number().over(order))
+    if cap is not None:
+        ranked = ranked.where(F.col("rank_in_query") <= cap)
+    if caps is not None:
+        ranked = ranked.join(caps, "brief_id").where(F.col("rank_in_query") <= F.col("hits_cap"))
+    return ranked.select("brief_id", "query", "domain", "pos", "h.*", "rank_in_query")
 
 
 def group_by_domain(first: DataFrame) -> DataFrame:
@@ -80,14 +90,14 @@ def group_by_domain(first: DataFrame) -> DataFrame:
     )
 
 
-def hit_stats(hits: DataFrame) -> DataFrame:
-    """Raw hits, distinct domains and distinct queries per brief."""
-    small = hits.groupBy("brief_id", "domain", "query").agg(F.count("*").alias("n"))
-    return small.groupBy("brief_id").agg(
-        F.sum("n").alias("raw_hits"),
-        F.count_distinct("domain").alias("unique_domains"),
-        F.count_distinct("query").alias("queries"),
-    )
+def hit_stats(first: DataFrame, params: DataFrame) -> DataFrame:
+    """Kept hits and distinct domains of ``first_hits``, and queries asked, of every brief."""
+    small = first.groupBy("brief_id", "domain").agg(F.count("*").alias("n"))
+    counted = small.groupBy("brief_id").agg(F.sum("n").alias("raw_hits"), F.count("*").alias("unique_domains"))
+    return params.select("brief_id", F.size("brief_queries").cast("long").alias("queries")).join(
+        counted, "brief_id", "left").select(
+        "brief_id", F.coalesce("raw_hits", F.lit(0)).alias("raw_hits"),
+        F.coalesce("unique_domains", F.lit(0)).alias("unique_domains"), "queries")
 
 
 def query_errors(responses: DataFrame) -> DataFrame:
@@ -105,20 +115,23 @@ def catalog_urls(hits: DataFrame, domains=V.CATALOG_DOMAINS) -> DataFrame:
     )
 
 
-def with_reject_reason(candidates: DataFrame, **relevance) -> DataFrame:
+def with_reject_reason(candidates: DataFrame, aggregators=V.AGGREGATOR_DOMAINS, regions: dict | None = None,
+                       junk: dict | None = None, **relevance) -> DataFrame:
     """First failing test of each candidate; NULL for the survivors.
 
     Needs the brief's columns next to the candidate's: ``client_domain``,
     ``exclude_domains``, ``regions``, ``region_mode``, ``brief_queries``, ``niche``.
+    ``regions``, ``junk`` and ``relevance`` are word lists of the three tests.
     """
     c = F.col
     region_text = hit_blob(c("title"), c("snippet"), queries=c("queries"))
     reason = (
-        F.when(domain_class(c("domain"), c("exclude_domains"), c("client_domain")) != V.STATUS_CANDIDATE,
-               "excluded")
-        .when(~hit_region_ok(region_text, c("regions"), c("region_mode")), "region")
-        .when(~is_relevant(c("domain"), c("title"), c("snippet"), c("queries"),
-                           c("brief_queries"), c("niche"), **relevance), "irrelevant")
+        F.when(domain_class(c("domain"), c("exclude_domains"), c("client_domain"), aggregators)
+               != V.STATUS_CANDIDATE, "excluded")
+        .when(~hit_region_ok(region_text, c("regions"), c("region_mode"), **(regions or {})), "region")
+        .when(~is_relevant(c("domain"), c("title"), c("snippet"), c("queries"), c("brief_queries"), c("niche"),
+                           junk=is_junk(c("domain"), c("title"), c("snippet"), **(junk or {})), **relevance),
+              "irrelevant")
     )
     return candidates.withColumn("reject_reason", reason)
 
@@ -134,20 +147,22 @@ def candidate_order() -> list[Column]:
     return [F.size("queries").desc(), F.col("domain").asc()]
 
 
-def cut_candidates(candidates: DataFrame, max_sites: Column, check_alive: Column) -> DataFrame:
+def cut_candidates(candidates: DataFrame, max_sites: Column, check_alive: Column,
+                   largest_sites: int | None = None) -> DataFrame:
     """Keep ``max_sites`` candidates per brief, live ones of the probe window first.
 
     Needs ``alive``.  The probe window is the first ``max(n + 20, floor(1.4 n))``
     candidates.  Its live ones are taken in order; what is missing comes unprobed from
-    behind the window.  No more than window + n rows per brief can matter, so the group
-    limit bounds every later window, whatever the number of candidates.
+    behind the window.  No more than window + n rows per brief can matter; when no
+    ``max_sites`` is above ``largest_sites`` that is a group limit on every map partition.
     """
-    window_size = F.greatest(max_sites + 20, F.floor(max_sites * F.lit(1.4))).cast("int")
+    window_size = probe_window(max_sites)
     by_brief = Window.partitionBy("brief_id")
+    ranked = candidates.withColumn("rank", F.row_number().over(by_brief.orderBy(*candidate_order())))
+    if largest_sites is not None:
+        ranked = ranked.where(F.col("rank") <= probe_window(largest_sites) + largest_sites)
     ranked = (
-        candidates.withColumn("rank", F.row_number().over(by_brief.orderBy(*candidate_order())))
-        .where(F.col("rank") <= LARGEST_WINDOW + V.MAX_SITES)  # literal bound: a group limit
-        .where(F.col("rank") <= window_size + max_sites)
+        ranked.where(F.col("rank") <= window_size + max_sites)
         .withColumn("in_probe", check_alive & (F.col("rank") <= window_size))
         .withColumn("tier", F.when(~check_alive | (F.col("in_probe") & F.col("alive")), 0)
                     .when(~F.col("in_probe"), 1))
@@ -160,13 +175,14 @@ def cut_candidates(candidates: DataFrame, max_sites: Column, check_alive: Column
     )
 
 
-def probe_counts(candidates: DataFrame, max_sites: Column) -> DataFrame:
+def probe_counts(candidates: DataFrame, max_sites: Column, largest_sites: int | None = None) -> DataFrame:
     """Checked / alive / dead within each brief's probe window."""
-    window_size = F.greatest(max_sites + 20, F.floor(max_sites * F.lit(1.4))).cast("int")
     order = Window.partitionBy("brief_id").orderBy(*candidate_order())
+    ranked = candidates.withColumn("rank", F.row_number().over(order))
+    if largest_sites is not None:
+        ranked = ranked.where(F.col("rank") <= probe_window(largest_sites))
     return (
-        candidates.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= LARGEST_WINDOW).where(F.col("rank") <= window_size)
+        ranked.where(F.col("rank") <= probe_window(max_sites))
         .groupBy("brief_id")
         .agg(F.count("*").alias("checked"), F.count_if("alive").alias("alive"),
              F.count_if(~F.col("alive")).alias("dead"))

@@ -162,20 +162,23 @@ def page_title() -> Column:
     return F.coalesce(named, _span(h1, ""), F.lit(""))
 
 
-def _outside_noscript(s: Column) -> Column:
-    return ~F.exists(_nodes("noscript"), lambda n: (s >= n["s"]) & (s < n["e"]))
+def _with_noscript(body) -> Column:
+    """``body`` of the test whether a string lies outside all noscript blocks, which are looked up once."""
+    blocks = F.transform(_nodes("noscript"), lambda n: F.struct(n["s"].alias("s"), n["e"].alias("e")))
+    return F.get(F.transform(F.array(blocks), lambda bs: body(
+        lambda at: ~F.exists(bs, lambda n: (at >= n["s"]) & (at < n["e"])))), F.lit(0))
 
 
 def visible_text(limit: int) -> Column:
-    kept = F.filter("strings", lambda t, i: _outside_noscript(i))
+    kept = _with_noscript(lambda outside: F.filter("strings", lambda t, i: outside(i)))
     return F.substring(F.array_join(kept, "\n"), 1, limit)
 
 
 def headings(limit: int = 30) -> Column:
     """h1..h3 with text: array<struct<level, text>>."""
-    found = F.transform(
-        F.filter(_nodes("h1", "h2", "h3"), lambda n: (n["e"] > n["s"]) & _outside_noscript(n["s"])),
-        lambda n: F.struct(n["tag"].alias("level"), _span(n).alias("text")))
+    kept = _with_noscript(lambda outside: F.filter(
+        _nodes("h1", "h2", "h3"), lambda n: (n["e"] > n["s"]) & outside(n["s"])))
+    found = F.transform(kept, lambda n: F.struct(n["tag"].alias("level"), _span(n).alias("text")))
     return F.slice(found, 1, limit)
 
 

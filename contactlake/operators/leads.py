@@ -27,13 +27,14 @@ def build_leads(candidates: DataFrame, sites: DataFrame, policy: Column | str =
     """Candidate rows joined with what their site gave.
 
     ``candidates``: brief_id, ord, domain, title, snippet, engines, queries;
-    ``sites``: site, title, contacts (``crawl_results``).  A site without numbers falls
-    back to numbers in its own search text.
+    ``sites``: site, title, contacts (``crawl_results``), and crawl_depth where candidates
+    have one.  A site without numbers falls back to numbers in its own search text.
     """
     c = F.col
-    joined = candidates.alias("c").join(
-        sites.select(c("site").alias("domain"), c("title").alias("site_title"), c("contacts").alias("site_contacts")),
-        "domain", "left")
+    by = ["domain"] + [k for k in ("crawl_depth",) if k in sites.columns]
+    found = sites.withColumnRenamed("site", "domain").select(
+        *by, c("title").alias("site_title"), c("contacts").alias("site_contacts"))
+    joined = candidates.join(found, by, "left")
     with_text = text_contacts(
         joined, F.trim(hit_blob(c("title"), c("snippet"))), "snippet", plan, out="text_contacts")
     has_site = F.coalesce(F.size("site_contacts") > 0, F.lit(False))
@@ -63,7 +64,7 @@ def build_leads(candidates: DataFrame, sites: DataFrame, policy: Column | str =
 
 
 def fill_from_catalogs(leads: DataFrame, catalog_pages: DataFrame, policy: Column | str = "business",
-                       plan: NumberingPlan = RU) -> DataFrame:
+                       plan: NumberingPlan = RU, guide: str = V.GUIDE_MARK) -> DataFrame:
     """Leads without a number take those of the first catalogue page that names their site.
 
     ``catalog_pages``: brief_id, url, body, contacts.  A page names a site when its text
@@ -84,10 +85,10 @@ def fill_from_catalogs(leads: DataFrame, catalog_pages: DataFrame, policy: Colum
     )
     hit = F.col("picked").isNotNull()
     types = primary_secondary("phones", plan)
-    guide = F.when(F.contains("url", F.lit("kudagid")), V.SOURCE_GUIDE).otherwise(V.SOURCE_CATALOG)
+    origin = F.when(F.contains("url", F.lit(guide)), V.SOURCE_GUIDE).otherwise(V.SOURCE_CATALOG)
     return (
         filled.withColumn("phones", F.coalesce("picked", "phones"))
-        .withColumn("source", F.when(hit, guide).otherwise(F.col("source")))
+        .withColumn("source", F.when(hit, origin).otherwise(F.col("source")))
         .withColumn("status", F.when(hit, V.STATUS_FOUND).otherwise(F.col("status")))
         .drop("p1", "p2", "p1_type", "p2_type")
         .select("*", *types)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contactlake import fixed_values as V
 from contactlake.functions.url import host, normalize_url, path_of, resolve, same_host
 from contactlake.operators.flatten import FLAT_COLUMNS
-from contactlake.session import cut_lineage
+from contactlake.session import cut_lineage, stage
 
 
 def _keys(flat: DataFrame) -> list[str]:
@@ -86,9 +86,10 @@ def expand_frontier(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame
 
     ``links``: (site, url, target); ``seeds``: (site, url).  Each level is one join on
     (site, url) and one anti join on what is known, then a reliable checkpoint, so the
-    plan stays short and a lost executor costs one level at most.
+    plan stays short and a lost executor costs one level at most.  The links are staged
+    first, so pages behind them are parsed once.
     """
-    depth = min(depth, V.MAX_DEPTH)
+    links = stage(links.select("site", "url", "target"))
     known = cut_lineage(seeds.select("site", "url").distinct().withColumn("level", F.lit(0)))
     fresh = known
     for level in range(1, depth + 1):
@@ -103,10 +104,15 @@ def expand_frontier(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame
 
 
 def visit_order(path: Column, paths=("/",) + V.CONTACT_PATHS + V.ABOUT_PATHS) -> Column:
-    """Position of a path in the visiting order, NULL for other paths; home is 0."""
-    trimmed = F.when(path.isin("", "/"), "/").otherwise(path)
+    """Position of a path in the visiting order, NULL for other paths; home is 0.
+
+    A slash at the end makes no difference.
+    """
+    bare = F.regexp_replace(path, "/+$", "")
+    trimmed = F.when(bare == "", "/").otherwise(bare)
     return F.coalesce(*[F.when(trimmed == p, F.lit(i)) for i, p in enumerate(paths)])
 
 
-def page_budget(depth: int) -> int:
-    return max(4, 3 * depth)
+def page_budget(depth):
+    """Pages visited at a depth (a number or a column)."""
+    return max(4, 3 * depth) if isinstance(depth, int) else F.greatest(F.lit(4), depth * 3)

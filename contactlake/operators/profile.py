@@ -200,7 +200,7 @@ def with_queries(df: DataFrame, brand: str = "brand", limit: int = 14) -> DataFr
         .withColumn("_cores", F.filter(normalize_offerings(base), lambda c: F.length(c) <= 45))
         .withColumn("_direct", F.transform(
             F.concat(F.slice("offerings", 1, 8), extra.otherwise(served)), T.squeeze))
-        .withColumn("_plain", T.first_by_lower(F.col("_direct"), 100, _worthy(F.col(brand))))
+        .withColumn("_plain", T.first_by_lower(F.col("_direct"), None, _worthy(F.col(brand))))
         .withColumn("_cities", cities)
         .withColumn("queries", T.first_by_lower(
             F.concat("_plain", F.filter("_cities", _worthy(F.col(brand)))), limit))

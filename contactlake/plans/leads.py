@@ -13,7 +13,7 @@ from contactlake.operators.html import page_contacts
 from contactlake.operators.leads import build_leads, dedupe_leads, fill_from_catalogs
 from contactlake.operators.flatten import flatten_pages
 from contactlake.operators.links import page_budget, top_links, visit_order
-from contactlake.plans.candidates import candidate_job
+from contactlake.plans.candidates import candidate_job, searching, seeded_candidates
 from contactlake.session import stage
 from contactlake.sources.readers import union_all
 
@@ -79,20 +79,6 @@ def client_summary(pages: DataFrame, plan: NumberingPlan = RU) -> DataFrame:
         F.transform("contacts", lambda c: c["phone"]).alias("phones"), "pages")
 
 
-def lead_job(candidates: DataFrame, visits: DataFrame, policy: Column | str = "business",
-             plan: NumberingPlan = RU, region_names=None) -> DataFrame:
-    """``candidates``: brief_id, ord, domain, ...; ``visits``: site, visit, url, html.
-
-    Only pages of candidate sites are parsed: the semi join comes before the Arrow pass,
-    because nothing can be pushed through it, and moving a page costs far less than
-    parsing it.  What is shuffled afterwards is titles, cut texts and contacts.
-    """
-    wanted = candidates.select(F.col("domain").alias("site")).distinct()
-    parsed = page_contacts(
-        visits.select("site", "visit", "url", "html").join(wanted, "site", "left_semi"), plan)
-    return build_leads(candidates, crawl_results(one_per_visit(parsed)), policy, plan, region_names)
-
-
 def catalog_pages(hits: DataFrame, pages: DataFrame, plan: NumberingPlan = RU,
                   domains=V.CATALOG_DOMAINS) -> DataFrame:
     """Parsed catalogue pages per brief: brief_id, url, body, contacts."""
@@ -102,24 +88,54 @@ def catalog_pages(hits: DataFrame, pages: DataFrame, plan: NumberingPlan = RU,
     return urls.join(parsed.select("url", "body", "contacts"), "url")
 
 
-def finish_run(chosen: DataFrame, hits: DataFrame, pages: DataFrame, visits: DataFrame,
-               policy: Column | str = "business", plan: NumberingPlan = RU,
+def visits_of(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pages to visit for each wanted (site, crawl_depth): site, crawl_depth, visit, url.
+
+    Only urls are ranked and joined here; html is read once, later, for the urls that are left.
+    """
+    deepest = wanted.agg(F.max("crawl_depth")).first()[0] or 0
+    fixed = planned_visits(pages, V.MAX_DEPTH).select("site", "visit", "url").join(wanted, "site")
+    out = [fixed.where(F.col("visit") < page_budget(F.col("crawl_depth")))]
+    for depth in range(1, deepest + 1):
+        if page_budget(depth) > len(PATHS):
+            sites = wanted.where(F.col("crawl_depth") == depth).select("site")
+            mine = pages.withColumn("_site", host(F.col("url"))).join(
+                sites.withColumnRenamed("site", "_site"), "_site", "left_semi").drop("_site")
+            out.append(deep_visits(mine, depth).where(F.col("visit") >= 100)
+                       .select("site", "visit", "url", F.lit(depth).alias("crawl_depth")))
+    return union_all(out)
+
+
+def finish_run(chosen: DataFrame, hits: DataFrame, pages: DataFrame, params: DataFrame, plan: NumberingPlan = RU,
                catalog_domains=V.CATALOG_DOMAINS, region_names=None) -> DataFrame:
-    """Chosen candidates -> deduplicated lead rows.
+    """Chosen candidates -> deduplicated lead rows, each brief by its own policy, depth and sources.
 
-    Every page is parsed once.  The results of each phase are small (at most 200 rows per
-    brief, plus catalogue pages with a number) but are read several times by the next, so
-    they are staged in the shared folder; a lost executor repeats one phase only.
+    Every page is parsed once, also for briefs of different depths.  The results of each
+    phase are small (the sites of each brief, plus catalogue pages with a number) but are
+    read several times by the next, so they are staged in the shared folder; a lost executor
+    repeats one phase only.
     """
-    picked = stage(chosen.select("brief_id", "ord", "domain", "title", "snippet", "engines", "queries"))
-    leads = stage(lead_job(picked, visits, policy, plan, region_names))
-    catalogs = stage(catalog_pages(hits, pages, plan, catalog_domains))
+    by_brief = params.select("brief_id", "policy", "crawl_depth", "sources")
+    picked = stage(
+        chosen.select("brief_id", "ord", "domain", "title", "snippet", "engines", "queries").join(by_brief, "brief_id")
+        .where(F.array_contains("sources", "site")).drop("sources"))
+    visits = stage(visits_of(pages, picked.select(F.col("domain").alias("site"), "crawl_depth").distinct()))
+    read = pages.select("url", "html").join(visits.select("url").distinct(), "url", "left_semi")
+    parsed = stage(page_contacts(read, plan).select("url", "title", "body", "contacts"))
+    keys = ("site", "crawl_depth")
+    sites = crawl_results(one_per_visit(parsed.join(visits, "url"), keys=keys), keys=keys)
+    policy = F.col("policy")
+    leads = stage(build_leads(picked, sites, policy, plan, region_names))
+    filled = by_brief.where(F.array_contains("sources", "catalog")).select("brief_id", "policy")
+    catalogs = stage(catalog_pages(hits, pages, plan, catalog_domains).join(filled, "brief_id"))
     return dedupe_leads(stage(fill_from_catalogs(leads, catalogs, policy, plan)))
 
 
-def full_run(hits: DataFrame, params: DataFrame, pages: DataFrame, visits: DataFrame | None = None,
-             live: DataFrame | None = None, policy: Column | str = "business", plan: NumberingPlan = RU,
-             **relevance) -> DataFrame:
-    """Hits, briefs and pages -> deduplicated lead rows of every brief."""
-    chosen = candidate_job(hits, params, live, **relevance).chosen
-    return finish_run(chosen, hits, pages, planned_visits(pages) if visits is None else visits, policy, plan)
+def full_run(hits: DataFrame, params: DataFrame, pages: DataFrame, live: DataFrame | None, plan: NumberingPlan = RU,
+             catalog_domains=V.CATALOG_DOMAINS, region_names=None, **lists) -> DataFrame:
+    """Hits, briefs and pages -> deduplicated lead rows of every brief; quick briefs bring their own sites."""
+    found = candidate_job(hits, params, live, **lists).chosen
+    chosen = union_all([df.select("brief_id", "ord", "domain", "title", "snippet", "engines", "queries")
+                        for df in (found, seeded_candidates(params))])
+    searched = hits.join(searching(params).select("brief_id"), "brief_id", "left_semi")
+    return finish_run(chosen, searched, pages, params, plan, catalog_domains, region_names)

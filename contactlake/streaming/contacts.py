@@ -1,8 +1,9 @@
 """Incremental contact extraction.
 
-New pages (or texts) come in as a file stream; each (site, phone) goes out once.  The
-checkpoint holds the read position and the keys within the watermark, so a restart goes on
-where the last run stopped and writes nothing twice.
+New pages (or texts) come in as a file stream; each (site, phone) goes out once, however far
+apart in time its pages lie.  Every micro-batch is compared with what earlier batches wrote
+and replaces the folder of its own number, so a repeated batch leaves the same files; the
+checkpoint holds the read position only.
 """
 from __future__ import annotations
 
@@ -16,35 +17,41 @@ from contactlake.operators.contacts import text_contacts
 from contactlake.operators.html import page_contacts
 
 
-def _distinct_contacts(found: DataFrame, time: str, lateness: str) -> DataFrame:
-    return found.withWatermark(time, lateness).dropDuplicatesWithinWatermark(["site", "phone"])
+KEYS = ("site", "phone")
 
 
-def page_contact_stream(pages: DataFrame, time: str = "fetched_at", lateness: str = "1 day",
-                        plan: NumberingPlan = RU) -> DataFrame:
-    """Streaming pages (url, html, event time) -> new contacts."""
+def page_contact_stream(pages: DataFrame, time: str = "fetched_at", plan: NumberingPlan = RU) -> DataFrame:
+    """Streaming pages (url, html, event time) -> contacts: time, site, ord, phone, type, source."""
     parsed = page_contacts(pages.select(time, "url", "html"), plan)
-    rows = parsed.select(
-        time, host(F.col("url")).alias("site"), F.inline_outer("contacts")).where(F.col("phone").isNotNull())
-    return _distinct_contacts(rows, time, lateness)
+    return parsed.select(F.col(time).alias("at"), host(F.col("url")).alias("site"), F.inline_outer("contacts")).where(
+        F.col("phone").isNotNull())
 
 
-def text_contact_stream(texts: DataFrame, site: Column, text: Column, time: Column,
-                        lateness: str = "1 day", plan: NumberingPlan = RU) -> DataFrame:
-    """Streaming texts -> new contacts."""
+def text_contact_stream(texts: DataFrame, site: Column, text: Column, time: Column, plan: NumberingPlan = RU) -> DataFrame:
+    """Streaming texts -> contacts."""
     keyed = texts.select(time.alias("at"), site.alias("site"), text.alias("text"))
-    rows = text_contacts(keyed, F.col("text"), plan=plan).select(
-        "at", "site", F.inline_outer("contacts")).where(F.col("phone").isNotNull())
-    return _distinct_contacts(rows, "at", lateness)
+    return text_contacts(keyed, F.col("text"), plan=plan).select("at", "site", F.inline_outer("contacts")).where(
+        F.col("phone").isNotNull())
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there now, append it to ``out`` and stop."""
-    q = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    """Process what is there now, add the contacts that are new to ``out`` and stop.
+
+    Of equal contacts of a batch the earliest is written.  Only the two key columns of the
+    earlier output are read.
+    """
+    rest = [c for c in stream.columns if c not in KEYS]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy(*KEYS).agg(F.min(F.struct(*rest)).alias("c")).select(*KEYS, "c.*")
+        if batch_id:
+            fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+            before = batch.sparkSession.read.schema(f"{fields}, batch_id LONG").parquet(out)
+            first = first.join(before.where(F.col("batch_id") < batch_id).select(*KEYS), list(KEYS), "left_anti")
+        first.select(*stream.columns).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 

@@ -147,3 +147,12 @@ def test_phone_flag(spark):
     df = spark.createDataFrame(rows, "page_id INT, html STRING")
     got = {r.page_id: r.has_phone for r in H.with_phone_flag(df).collect()}
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False}
+
+
+def test_no_page_stops_the_job(spark):
+    deep = '<script type="application/ld+json">' + "[" * 5000 + "]" * 5000 + "</script>тел 8 495 111 22 33"
+    half = '<script type="application/ld+json">{"telephone": "\\ud800 8 495 000 00 07", "name": "\\udfff x", "@type": "Service"}</script>'
+    chain = '<script type="application/ld+json">' + '{"a":' * 900 + '{"telephone": "8 495 000 00 08"}' + "}" * 900 + "</script>"
+    pages = spark.createDataFrame(list(enumerate([deep, half, chain, "<![if", "<!DOCTYPE [<", "<a" * 3000, None])), "page_id LONG, html STRING")
+    rows = {r.page_id: [c.phone for c in r.contacts] for r in H.page_contacts(pages).collect()}
+    assert rows[0] == ["74951112233"] and rows[1] == ["74950000007"] and rows[2] == ["74950000008"] and len(rows) == 7

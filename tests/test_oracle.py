@@ -21,4 +21,5 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    own = {n for n in entry.queries() if n.startswith("q_")}
+    assert own == {n for n in entry.oracle_sql() if n.startswith("q_")}

@@ -70,3 +70,14 @@ def test_status_stream(spark, tmp_path):
     steps = spark.createDataFrame([("r", "analyze", "done"), ("r", "crawl", "running")], "run_id STRING, step STRING, status STRING")
     got = T.run_progress(spark, out, runs, steps).first()
     assert (got.progress, got.current_step) == (16 + 8 + 8, "crawl")
+
+
+def test_late_pages_are_kept_and_far_repeats_are_not_written_again(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    first = [page(100_000, "https://a.ru/", "8 495 111 22 33")]
+    late = [page(1, "https://b.ru/", "8 495 111 22 33"), page(99_000, "https://b.ru/", "8 903 000 00 01"),
+            page(300_000, "https://a.ru/x", "8 495 111 22 33")]
+    for rows in (first, late):
+        deliver(spark, rows, src)
+        C.run_available(C.page_contact_stream(C.read_stream(spark, src, PAGE)), out, state)
+    assert found(spark, out) == [("a.ru", "74951112233"), ("b.ru", "74951112233"), ("b.ru", "79030000001")]

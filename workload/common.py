@@ -5,13 +5,17 @@ snapshots, events are run logs, orders and customer are the run store.
 """
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
 from contactlake.functions.phone import _CONTEXT, NANP, NumberingPlan
 from contactlake.functions.url import host
+from contactlake.plans.candidates import brief_parameters
 from contactlake.session import spread
+from contactlake.sources.readers import parse_briefs
 
 # Word lists with words that occur in the data.
 AGGREGATORS = ("spam-farm.example.org", "therin.example.net", "ththhe.example.com")
@@ -33,6 +37,34 @@ REGION_NAMES = ("thereon", "whoutha", "there", "schung", "mentoi", "tionha", "on
 BRIEF_QUERIES = ("hanthe example", "ouaiier")
 
 
+# One brief per language, different in every setting, and one that names its own sites.
+# max_sites and crawl_depth as given; zero and nothing mean the default, the rest is held in bounds.
+BRIEFS = (
+    ("en", dict(maxSites=200, crawlDepth=2, phoneFilter="business", checkAlive=True)),
+    ("de", dict(maxSites=20, crawlDepth=1, phoneFilter="mobile", checkAlive=False)),
+    ("fr", dict(maxSites=0, crawlDepth=3, phoneFilter="all", regionMode="exclude", sources=["serp", "site"])),
+    ("es", dict(maxSites=3, crawlDepth=0, phoneFilter="city", regionMode="exclude")),
+    ("own", dict(maxSites=10, crawlDepth=1, phoneFilter="business", quickCrawl=True,
+                 seedDomains="www.therha.example.com, thther.example.org, ththan.example.net, none.example.net, therin.example.net")),
+)
+# Fixed consequences of the briefs, for the SQL.
+SITES = {"en": 200, "de": 20, "fr": 50, "es": 10, "own": 10}
+BUDGET = {"en": 6, "de": 4, "fr": 9, "es": 6, "own": 4}
+OWN_SITES = ("therha.example.com", "none.example.net", "therin.example.net")
+
+
+def by_brief_sql(values: dict, brief: str = "brief_id") -> str:
+    return f"CASE {brief} " + " ".join(f"WHEN {q(b)} THEN {v}" for b, v in values.items()) + " END"
+
+
+def briefs(spark: SparkSession) -> DataFrame:
+    """The briefs as jobs take them: parsed from their JSON."""
+    common = dict(clientSite=f"https://{CLIENT}/", niche=NICHE, excludeDomains=", ".join(EXCLUDE),
+                  regions="\n".join(REGIONS), queries="\n".join(BRIEF_QUERIES))
+    rows = [(name, json.dumps(common | brief)) for name, brief in BRIEFS]
+    return brief_parameters(parse_briefs(spark.createDataFrame(rows, "brief_id STRING, value STRING")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,14 +131,15 @@ hits AS (
   FROM (SELECT d.*, coalesce(p.url, 'https://' || d.source || '.example.net/' || d.doc_id) AS url
         FROM documents d LEFT JOIN (SELECT page_id, url FROM pages) p ON d.doc_id = p.page_id)
 )"""
-FIRST_SQL = """
+_CAPS = by_brief_sql({b: max(100, 3 * n) for b, n in SITES.items()})
+FIRST_SQL = f"""
 first_seen AS (
   SELECT brief_id, query, domain, min(pos) AS pos, arg_min(url, pos) AS url, arg_min(title, pos) AS title,
          arg_min(snippet, pos) AS snippet, arg_min(engine, pos) AS engine
   FROM hits GROUP BY brief_id, query, domain),
 first_hits AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brief_id, query ORDER BY pos) AS rank_in_query
-                 FROM first_seen) WHERE rank_in_query <= {cap})"""
+                 FROM first_seen) WHERE rank_in_query <= {_CAPS})"""
 GROUPED_SQL = """
 grouped AS (
   SELECT brief_id, domain,

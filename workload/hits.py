@@ -17,62 +17,39 @@ from contactlake.functions.text import (
 from contactlake.functions.url import host
 from contactlake.operators import classify as C
 from contactlake.operators.hits import (
-    catalog_urls, first_hits, group_by_domain, hit_stats, probe_counts, query_errors, reject_counts, union_hits,
-    with_fallback, with_reject_reason, cut_candidates,
+    catalog_urls, first_hits, group_by_domain, hit_stats, hits_cap, probe_counts, query_errors, reject_counts, union_hits,
+    with_fallback,
 )
+from contactlake.plans.candidates import candidate_job, live_pages
 from contactlake.sources.readers import dimension, read_hits
 from workload import common as W
 from workload.common import (
     FIRST_SQL, GROUPED_SQL, HITS_SQL, contains_any_sql, documents, hits, host_sql, in_domains_sql, pages, q, table,
 )
 
-CAP = 30
 RELEVANCE = dict(signals=W.SIGNALS, synonyms=(), stop=W.NICHE_STOP, root="zzzz")
-MAX_SITES = 3
+LISTS = dict(aggregators=W.AGGREGATORS, regions=dict(aliases=W.REGION_ALIASES, suffixes=W.REGION_SUFFIXES),
+             junk=dict(domains=W.JUNK_HOSTS, info_parts=W.INFO_PARTS, edu=W.EDU, media=W.MEDIA, article=W.ARTICLE), **RELEVANCE)
 
 
 def _texts(*values):
     return F.array(*[F.lit(v) for v in values])
 
 
-def with_brief(df):
-    """Brief columns: the French and Spanish briefs exclude the regions, the others include them."""
-    mode = F.when(F.col("brief_id").isin("fr", "es"), "exclude").otherwise("include")
-    return (
-        df.withColumn("client_domain", F.lit(W.CLIENT)).withColumn("exclude_domains", _texts(*W.EXCLUDE))
-        .withColumn("regions", _texts(*W.REGIONS)).withColumn("region_mode", mode)
-        .withColumn("brief_queries", _texts(*W.BRIEF_QUERIES)).withColumn("niche", F.lit(W.NICHE))
-    )
-
-
 def _junk(host_col, title, snippet):
     return C.is_junk(host_col, title, snippet, domains=W.JUNK_HOSTS, info_parts=W.INFO_PARTS, edu=W.EDU,
                      media=W.MEDIA, article=W.ARTICLE)
 
 
-def judged(spark, sf_dir):
-    grouped = with_brief(group_by_domain(first_hits(hits(spark, sf_dir), CAP)))
-    c = F.col
-    reason = (
-        F.when(C.domain_class(c("domain"), c("exclude_domains"), c("client_domain"), W.AGGREGATORS)
-               != V.STATUS_CANDIDATE, "excluded")
-        .when(~C.hit_region_ok(hit_blob(c("title"), c("snippet"), queries=c("queries")), c("regions"),
-                               c("region_mode"), aliases=W.REGION_ALIASES, suffixes=W.REGION_SUFFIXES), "region")
-        .when(~C.is_relevant(c("domain"), c("title"), c("snippet"), c("queries"), c("brief_queries"), c("niche"),
-                             junk=_junk(c("domain"), c("title"), c("snippet")), **RELEVANCE), "irrelevant"))
-    return grouped.withColumn("reject_reason", reason)
-
-
-def live(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.groupBy("url").agg(F.bool_or(C.is_alive(F.lit(None).cast("int"), F.col("html"))).alias("alive"))
+def job(spark, sf_dir, **lists):
+    """The candidate job over all briefs; the pages are the live table."""
+    live = live_pages(table(spark, sf_dir, "pages"))
+    return candidate_job(hits(spark, sf_dir), W.briefs(spark), live, **(lists or LISTS))
 
 
-def chosen(spark, sf_dir, max_sites=MAX_SITES):
-    kept = judged(spark, sf_dir).where(F.col("reject_reason").isNull())
-    kept = kept.join(live(spark, sf_dir).withColumnRenamed("url", "first_url"), "first_url", "left").withColumn(
-        "alive", F.coalesce("alive", F.lit(False)))
-    return cut_candidates(kept, F.lit(max_sites), F.col("brief_id") != "de")
+def _first(spark, sf_dir):
+    caps = W.briefs(spark).select("brief_id", hits_cap(F.col("max_sites")).alias("hits_cap"))
+    return first_hits(hits(spark, sf_dir), caps=caps)
 
 
 def q_hits_from_xml(spark, sf_dir):
@@ -97,18 +74,18 @@ def q_hits_from_xml(spark, sf_dir):
 
 
 def q_hits_first_capped(spark, sf_dir):
-    return first_hits(hits(spark, sf_dir), CAP).select(
+    return _first(spark, sf_dir).select(
         "brief_id", "query", "domain", "pos", "url", "rank_in_query")
 
 
 def q_hits_by_domain(spark, sf_dir):
-    return group_by_domain(first_hits(hits(spark, sf_dir), CAP)).select(
+    return group_by_domain(_first(spark, sf_dir)).select(
         "brief_id", "domain", "title", "snippet", "first_url", F.array_join("urls", " ").alias("urls"),
         F.array_join("engines", ",").alias("engines"), F.array_join("queries", ",").alias("queries"))
 
 
 def q_hit_stats(spark, sf_dir):
-    return hit_stats(hits(spark, sf_dir))
+    return hit_stats(_first(spark, sf_dir), W.briefs(spark))
 
 
 def q_query_errors(spark, sf_dir):
@@ -174,13 +151,12 @@ def q_region_filter(spark, sf_dir):
 
 
 def q_reject_reasons(spark, sf_dir):
-    return reject_counts(judged(spark, sf_dir))
+    return reject_counts(job(spark, sf_dir).judged)
 
 
 def q_reject_defaults(spark, sf_dir):
     """The packaged word lists on the same hits."""
-    grouped = with_brief(group_by_domain(first_hits(hits(spark, sf_dir), CAP)))
-    return reject_counts(with_reject_reason(grouped))
+    return reject_counts(job(spark, sf_dir, aggregators=V.AGGREGATOR_DOMAINS).judged)
 
 
 def q_alive(spark, sf_dir):
@@ -191,14 +167,14 @@ def q_alive(spark, sf_dir):
 
 
 def q_candidates_cut(spark, sf_dir):
-    return chosen(spark, sf_dir).select("brief_id", "domain", "pick", "rank", "in_probe", "alive")
+    return job(spark, sf_dir).chosen.select("brief_id", "domain", "pick", "rank", "in_probe", "alive")
 
 
 def q_probe_counts(spark, sf_dir):
-    kept = judged(spark, sf_dir).where(F.col("reject_reason").isNull())
-    kept = kept.join(live(spark, sf_dir).withColumnRenamed("url", "first_url"), "first_url", "left").withColumn(
-        "alive", F.coalesce("alive", F.lit(False)))
-    return probe_counts(kept, F.lit(MAX_SITES))
+    judged = job(spark, sf_dir).judged.where(F.col("reject_reason").isNull())
+    live = live_pages(table(spark, sf_dir, "pages")).withColumnRenamed("url", "first_url")
+    kept = judged.join(live, "first_url", "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
+    return probe_counts(kept, F.col("max_sites"), V.MAX_SITES)
 
 
 # --- lists and labels -----------------------------------------------------------------------
@@ -241,7 +217,7 @@ def q_labels(spark, sf_dir):
 def q_locale(spark, sf_dir):
     codes = (("thereon", 213), ("schung", 1), ("queda", 16), ("whou", 192))
     return documents(spark, sf_dir).select(
-        "doc_id", locale_code(F.col("text"), F.col("source")if False else F.col("source"),
+        "doc_id", locale_code(F.col("text"), F.col("source"),
                               codes + (("src1", 47),)).alias("locale"))
 
 
@@ -281,7 +257,7 @@ QUERIES = {f.__name__: f for f in (
 
 # --- SQL ------------------------------------------------------------------------------------
 
-BASE = f"WITH {HITS_SQL}, {FIRST_SQL.format(cap=CAP)}, {GROUPED_SQL}"
+BASE = f"WITH {HITS_SQL}, {FIRST_SQL}, {GROUPED_SQL}"
 
 
 DATA_LISTS = dict(domains=W.JUNK_HOSTS, info=W.INFO_PARTS, edu=W.EDU, media=W.MEDIA, article=W.ARTICLE,
@@ -343,21 +319,18 @@ JUDGED = f"""{BASE}, judged AS (
   FROM grouped)"""
 _START = "lower(substring(html, 1, 3000))"
 ALIVE = f"(length(html) >= 200 AND NOT {contains_any_sql(_START, V.PARKING_PHRASES)})"
-def chosen_sql(max_sites):
-    return f"""{JUDGED},
+_N = W.by_brief_sql(W.SITES)
+CHOSEN = f"""{JUDGED},
 live AS (SELECT url, bool_or({ALIVE}) AS alive FROM pages GROUP BY url),
-kept AS (SELECT j.*, coalesce(l.alive, false) AS alive,
+kept AS (SELECT j.*, coalesce(l.alive, false) AS alive, {_N} AS most,
+           greatest({_N} + 20, CAST(floor({_N} * 1.4) AS INTEGER)) AS w,
            row_number() OVER (PARTITION BY brief_id ORDER BY len(queries) DESC, domain) AS rank
          FROM judged j LEFT JOIN live l ON l.url = j.first_url WHERE reject_reason IS NULL),
-lim AS (SELECT greatest({max_sites} + 20, CAST(floor({max_sites} * 1.4) AS INTEGER)) AS w),
 tiers AS (SELECT kept.*, brief_id <> 'de' AND rank <= w AS in_probe,
             CASE WHEN brief_id = 'de' OR (rank <= w AND alive) THEN 0 WHEN rank > w THEN 1 END AS tier
-          FROM kept, lim),
+          FROM kept),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY tier, rank) AS pick
-                          FROM tiers WHERE tier IS NOT NULL) WHERE pick <= {max_sites})"""
-
-
-CHOSEN = chosen_sql(MAX_SITES)
+                          FROM tiers WHERE tier IS NOT NULL) WHERE pick <= most)"""
 _RAWLIST = "(' WWW.' || source || '.com ,' || lang || '\n' || lang || ',,Q ')"
 _PARTS = f"list_filter(list_transform(regexp_split_to_array({_RAWLIST}, '[,\n]'), lambda p: trim(p)), lambda p: p <> '')"
 _PH = "SELECT doc_id, unnest(string_split_regex(text, '[.\n]')) AS raw, generate_subscripts(string_split_regex(text, '[.\n]'), 1) - 1 AS pos FROM documents"
@@ -383,12 +356,13 @@ SQL = {
         CASE WHEN engine = 'e4' THEN '' ELSE trim(regexp_replace(title, '[\\x00-\\x1F]', ' ', 'g')) END AS title,
         CASE WHEN engine = 'e4' THEN 0 ELSE CAST(length(trim(regexp_replace(snippet, '[\\x00-\\x1F]', ' ', 'g'))) AS INTEGER) END AS snippet_chars,
         CASE WHEN engine = 'e4' THEN '[15] none' ELSE '' END AS error FROM hits""",
-    "q_hits_first_capped": f"""WITH {HITS_SQL}, {FIRST_SQL.format(cap=CAP)}
+    "q_hits_first_capped": f"""WITH {HITS_SQL}, {FIRST_SQL}
         SELECT brief_id, query, domain, pos, url, CAST(rank_in_query AS INTEGER) AS rank_in_query FROM first_hits""",
     "q_hits_by_domain": f"""{BASE} SELECT brief_id, domain, title, snippet, first_url, array_to_string(urls, ' ') AS urls,
         array_to_string(engines, ',') AS engines, array_to_string(queries, ',') AS queries FROM grouped""",
-    "q_hit_stats": f"""WITH {HITS_SQL} SELECT brief_id, count(*) AS raw_hits, count(DISTINCT domain) AS unique_domains,
-        count(DISTINCT query) AS queries FROM hits GROUP BY brief_id""",
+    "q_hit_stats": f"""WITH {HITS_SQL}, {FIRST_SQL}, b AS (SELECT unnest([{', '.join(q(n) for n, _ in W.BRIEFS)}]) AS brief_id)
+        SELECT brief_id, count(f.pos) AS raw_hits, count(DISTINCT f.domain) AS unique_domains,
+        CAST({len(W.BRIEF_QUERIES)} AS BIGINT) AS queries FROM b LEFT JOIN first_hits f USING (brief_id) GROUP BY brief_id""",
     "q_query_errors": """SELECT user_id AS brief_id, 'q' || event_id || ': HTTP ' || props AS error
         FROM events WHERE event_type = 'error'""",
     "q_hits_union": f"""WITH {HITS_SQL} SELECT CASE WHEN brief_id IN ('en', 'de') THEN brief_id END AS origin,
@@ -424,7 +398,7 @@ SQL = {
     "q_candidates_cut": f"""{CHOSEN} SELECT brief_id, domain, CAST(pick AS INTEGER) AS pick, CAST(rank AS INTEGER) AS rank,
         in_probe, alive FROM chosen""",
     "q_probe_counts": f"""{CHOSEN} SELECT brief_id, count(*) AS checked, count(*) FILTER (WHERE alive) AS alive,
-        count(*) FILTER (WHERE NOT alive) AS dead FROM kept, lim WHERE rank <= w GROUP BY brief_id""",
+        count(*) FILTER (WHERE NOT alive) AS dead FROM kept WHERE rank <= w GROUP BY brief_id""",
     "q_list_fields": f"""SELECT doc_id,
         lower(source) || '.com|' || lang || '|q' AS domains,
         array_to_string(list_transform({_PARTS}, lambda p: lower(p)), '|') AS regions,

@@ -3,15 +3,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
 from contactlake.functions.lists import export_name
 from contactlake.functions.phone import NANP
 from contactlake.functions.url import host
-from contactlake.operators.contacts import limit_visits, text_contacts
+from contactlake.operators.contacts import text_contacts
 from contactlake.operators.leads import dedupe_leads, fill_from_catalogs, not_yet_done
-from contactlake.plans.leads import finish_run
+from contactlake.plans.candidates import live_pages
+from contactlake.plans.leads import PATHS, full_run
 from contactlake.session import shared_dir, stage
 from contactlake.sources.readers import read_pages
 from contactlake.sources.writers import export_table, exportable, write_csv
@@ -19,18 +21,27 @@ from workload import common as W
 from workload.common import (
     HITS_SQL, PLAIN_TEXT_SQL, contacts_sql, documents, hits, host_sql, in_domains_sql, pages, q, table,
 )
-from workload.hits import REGION_TEXT, chosen, chosen_sql
+from workload.hits import CHOSEN, LISTS, REGION_TEXT
 
-MAX_SITES = 40
+
+def site_pages(spark, sf_dir):
+    """The pages, and the first of each host once more under the addresses of the visiting path.
+
+    Every second address ends in a slash.
+    """
+    p = pages(spark, sf_dir).select("page_id", "url", "html")
+    nth = F.row_number().over(Window.partitionBy(host(F.col("url"))).orderBy("page_id"))
+    ranked = p.select("page_id", "url").withColumn("n", nth).where(F.col("n") <= len(PATHS))
+    path = F.element_at(F.array(*map(F.lit, PATHS)), F.col("n"))
+    slash = F.when((F.col("n") % 2 == 0), "/").otherwise("")
+    own = ranked.select("page_id", F.concat(F.lit("https://"), host(F.col("url")), path, slash).alias("url"))
+    return p.drop("page_id").unionByName(own.join(p.select("page_id", "html"), "page_id").drop("page_id"))
 
 
 def q_lead_rows(spark, sf_dir):
-    """The full run: hits, rejection, cut, first page with a number, text fallback, catalogues, dedupe."""
-    h = hits(spark, sf_dir)
-    p = pages(spark, sf_dir)
-    candidates = chosen(spark, sf_dir, MAX_SITES).withColumn("ord", F.col("pick"))
-    visits = limit_visits(p.withColumn("site", host(F.col("url"))), 6, "page_id")
-    done = finish_run(candidates, h, p, visits, "business", NANP, W.CATALOGS, W.REGION_NAMES)
+    """The full run over all briefs, the one with its own sites included."""
+    live = live_pages(pages(spark, sf_dir))
+    done = full_run(hits(spark, sf_dir), W.briefs(spark), site_pages(spark, sf_dir), live, NANP, W.CATALOGS, W.REGION_NAMES, **LISTS)
     return done.select(
         "brief_id", "ord", "site", "name", "offer", "region", F.array_join("phones", ",").alias("phones"),
         "p1", "p2", "p1_type", "p2_type", "p1_valid", "p2_valid", "source", "status", "crawl_status")
@@ -119,42 +130,54 @@ def _regions(text):
                               for n in sorted(W.REGION_NAMES, key=lambda n: (-len(n), n))) + " END"
 
 
-LEADS = f"""{chosen_sql(MAX_SITES)},
+_POLICY = """CASE WHEN n > 10 THEN type = 'mobile' WHEN brief_id = 'de' THEN type = 'mobile' OR (mobiles = 0 AND type = 'city')
+             WHEN brief_id = 'es' THEN type = 'city' ELSE type IN ('mobile', 'city') END"""
+_OWN_ROWS = " UNION ALL ".join(
+    f"SELECT 'own', {i}, {q(d)}, {q(d)}, {q(V.SEED_SNIPPET)}, ['seed'], ['quick']" for i, d in enumerate(W.OWN_SITES, 1))
+LEADS = f"""{CHOSEN},
+picks AS (SELECT brief_id, pick, domain, title, snippet, engines, queries FROM chosen UNION ALL {_OWN_ROWS}),
 {contacts_sql('pc', f"(SELECT page_id, {PLAIN_TEXT_SQL} AS text FROM pages)", 'page_id', 'text')},
-{contacts_sql('sc', 'chosen', 'brief_id, domain', "trim(title || ' ' || snippet)")},
-vis AS (SELECT * FROM (SELECT page_id, url, {host_sql('url')} AS site,
+{contacts_sql('sc', 'picks', 'brief_id, domain', "trim(title || ' ' || snippet)")},
+pos AS (SELECT page_id, {host_sql('url')} AS site,
           trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g')) AS title,
           row_number() OVER (PARTITION BY {host_sql('url')} ORDER BY page_id) - 1 AS visit,
-          EXISTS (SELECT 1 FROM pc WHERE pc.page_id = pages.page_id) AS has_phone FROM pages) WHERE visit < 6),
-stop AS (SELECT site, min(visit) FILTER (WHERE has_phone) AS found_at, arg_min(page_id, visit) FILTER (WHERE has_phone) AS page_id
-         FROM vis GROUP BY site),
-crawl AS (SELECT vis.site, any_value(stop.page_id) AS page_id,
+          EXISTS (SELECT 1 FROM pc WHERE pc.page_id = pages.page_id) AS has_phone FROM pages),
+vis AS (SELECT pos.*, b.brief_id FROM pos, (SELECT DISTINCT brief_id FROM picks) b
+        WHERE visit < least({len(PATHS)}, {W.by_brief_sql(W.BUDGET, 'b.brief_id')})),
+stop AS (SELECT brief_id, site, min(visit) FILTER (WHERE has_phone) AS found_at,
+           arg_min(page_id, visit) FILTER (WHERE has_phone) AS page_id FROM vis GROUP BY ALL),
+crawl AS (SELECT vis.brief_id, vis.site, any_value(stop.page_id) AS page_id,
             coalesce(arg_min(title, visit) FILTER (WHERE title <> ''), '') AS title
-          FROM vis JOIN stop USING (site) WHERE found_at IS NULL OR visit <= found_at GROUP BY vis.site),
+          FROM vis JOIN stop USING (brief_id, site) WHERE found_at IS NULL OR visit <= found_at GROUP BY ALL),
 used AS (
   SELECT c.brief_id, c.domain, pc.phone, pc.ord, pc.type, 'site' AS origin
-  FROM chosen c JOIN crawl k ON k.site = c.domain JOIN pc ON pc.page_id = k.page_id
+  FROM picks c JOIN crawl k ON k.brief_id = c.brief_id AND k.site = c.domain JOIN pc ON pc.page_id = k.page_id
   UNION ALL
   SELECT sc.brief_id, sc.domain, sc.phone, sc.ord, sc.type, 'text' FROM sc
-  WHERE sc.domain NOT IN (SELECT site FROM crawl WHERE page_id IS NOT NULL)),
-sized AS (SELECT *, count(*) OVER (PARTITION BY brief_id, domain) AS n FROM used),
+  WHERE (sc.brief_id, sc.domain) NOT IN (SELECT (brief_id, site) FROM crawl WHERE page_id IS NOT NULL)),
+sized AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE type = 'mobile') OVER w AS mobiles FROM used
+          WINDOW w AS (PARTITION BY brief_id, domain)),
 picked AS (SELECT brief_id, domain, list(phone ORDER BY ord) AS phones, any_value(origin) AS origin FROM sized
-           WHERE type IN ('mobile', 'city') AND (n <= 10 OR type = 'mobile') GROUP BY brief_id, domain),
+           WHERE {_POLICY} GROUP BY brief_id, domain),
 leads AS (
   SELECT c.brief_id, c.pick AS ord, c.domain AS site,
     substring(coalesce(nullif(k.title, ''), nullif(c.title, ''), c.domain), 1, 120) AS name,
     coalesce(nullif(substring(c.snippet, 1, 160), ''), 'Выдача ' || array_to_string(c.engines, '/')) AS offer,
     {_regions('c.' + REGION_TEXT.replace("|| snippet", "|| c.snippet").replace("(queries", "(c.queries"))} AS region,
     coalesce(p.phones, []) AS phones,
-    CASE WHEN EXISTS (SELECT 1 FROM crawl x WHERE x.site = c.domain AND x.page_id IS NOT NULL) THEN {q(V.SOURCE_SITE)} ELSE {q(V.SOURCE_SEARCH)} END AS source,
+    CASE WHEN EXISTS (SELECT 1 FROM crawl x WHERE x.brief_id = c.brief_id AND x.site = c.domain AND x.page_id IS NOT NULL) THEN {q(V.SOURCE_SITE)} ELSE {q(V.SOURCE_SEARCH)} END AS source,
     CASE WHEN len(p.phones) > 0 THEN {q(V.STATUS_FOUND)} ELSE {q(V.STATUS_NO_PHONE)} END AS status,
     CASE WHEN k.site IS NOT NULL OR (p.origin = 'text' AND len(p.phones) > 0) THEN 'success' ELSE 'error' END AS crawl_status
-  FROM chosen c LEFT JOIN crawl k ON k.site = c.domain LEFT JOIN picked p ON p.brief_id = c.brief_id AND p.domain = c.domain),
+  FROM picks c LEFT JOIN crawl k ON k.brief_id = c.brief_id AND k.site = c.domain LEFT JOIN picked p ON p.brief_id = c.brief_id AND p.domain = c.domain),
 cats AS (
-  SELECT h.brief_id, h.url, lower(p.text) AS text, list(pc.phone ORDER BY pc.ord) AS phones
-  FROM (SELECT brief_id, domain, arg_max(url, pos) AS url FROM hits WHERE {in_domains_sql('domain', W.CATALOGS)} GROUP BY 1, 2) h
-  JOIN (SELECT page_id, url, {PLAIN_TEXT_SQL} AS text FROM pages) p USING (url) JOIN pc ON pc.page_id = p.page_id
-  GROUP BY ALL),
+  SELECT brief_id, url, text, list(phone ORDER BY ord) AS phones FROM (
+    SELECT h.brief_id, h.url, lower(p.text) AS text, pc.phone, pc.ord, pc.type, count(*) OVER w AS n,
+      count(*) FILTER (WHERE type = 'mobile') OVER w AS mobiles
+    FROM (SELECT brief_id, domain, arg_max(url, pos) AS url FROM hits
+          WHERE brief_id <> 'fr' AND {in_domains_sql('domain', W.CATALOGS)} GROUP BY 1, 2) h
+    JOIN (SELECT page_id, url, {PLAIN_TEXT_SQL} AS text FROM pages) p USING (url) JOIN pc ON pc.page_id = p.page_id
+    WINDOW w AS (PARTITION BY h.brief_id, h.url))
+  WHERE {_POLICY} GROUP BY ALL),
 named AS (SELECT l.brief_id, l.site, min(cats.url) AS url, arg_min(cats.phones, cats.url) AS phones
           FROM leads l JOIN cats ON cats.brief_id = l.brief_id AND contains(cats.text, split_part(lower(l.site), '.', 1))
           WHERE len(l.phones) = 0 GROUP BY 1, 2),
