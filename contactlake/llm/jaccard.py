@@ -152,6 +152,39 @@ class _Frequent:
         return key
 
 
+class IdFilter:
+    """Bitmap of hashed ids, of fixed size: no given id fails it, few others pass while it is sparse.
+
+    It spares rows work and moves; what passes by chance meets no partner later.
+    """
+
+    BITS = 26
+
+    def __init__(self, ids: DataFrame, column: str):
+        def words_of(batches):
+            for b in batches:
+                word, bit = self._place(b.column(column).to_numpy())
+                names, at = np.unique(word, return_inverse=True)
+                bits = np.zeros(len(names), np.uint64)
+                np.bitwise_or.at(bits, at, np.uint64(1) << bit)
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+        # at most 2^20 rows of two numbers
+        rows = (ids.select(column).mapInArrow(words_of, "word INT, bits LONG").groupBy("word")
+                .agg(F.bit_or("bits").alias("bits")).toPandas())
+        self.words = np.zeros(1 << (self.BITS - 6), np.uint64)
+        self.words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+
+    @classmethod
+    def _place(cls, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bit = mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - cls.BITS)
+        return (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        word, bit = self._place(ids)
+        return (self.words[word] >> bit & np.uint64(1)).astype(bool)
+
+
 def prefixes(s: Sets, frequent: _Frequent, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Set and order key of the rarest shingles of each set, as many as a link cannot all miss."""
     n = np.diff(s.first)
@@ -215,8 +248,9 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
         "doc_id is not null")
     tasks = task_count(spark)
 
-    def sets_of(batches):
+    def sets_of(batches, wanted: IdFilter | None = None):
         for batch in batches:
+            batch = batch if wanted is None else batch.filter(pa.array(wanted(batch.column("doc_id").to_numpy())))
             for b in blocks(batch, "text"):
                 s = shingle_sets(words(*string_block(b.column("text"))), width)
                 yield b, s, set_ids(s)
@@ -283,20 +317,18 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     lists = stage(texts.select("text").mapInArrow(postings, "bucket INT, lists BINARY, sids BINARY, sizes BINARY")
                   .groupBy("bucket").applyInPandas(gather, "list LONG, sids ARRAY<LONG>").dropDuplicates(["list"]))
 
-    # 3. whole sets and count vectors of the sets that stand in a list, one document each
+    # 3. count vectors of the sets that stand in a list, from one document each
     firsts = stage(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")))
     listed = stage(lists.select(F.explode("sids").alias("sid")).distinct().join(firsts, "sid"))
+    in_list = IdFilter(listed, "first")
 
-    def gather_sets(batches):
-        for _, s, ids in sets_of(batches):
-            members = [s.member[a:b] for a, b in zip(s.first, s.first[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids.view(np.int64)), pa.array([count_vector(m).tobytes() for m in members], pa.binary()),
-                 pa.array([_pack(m) for m in members], pa.binary())], names=["sid", "vector", "members"])
+    def gather_vectors(batches):
+        for _, s, ids in sets_of(batches, in_list):
+            vectors = [count_vector(s.member[a:b]).tobytes() for a, b in zip(s.first, s.first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(np.diff(s.first).astype(np.int32)),
+                                              pa.array(vectors, pa.binary())], names=["sid", "n", "vector"])
 
-    sets = stage(texts.join(listed.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-                 .select("text").mapInArrow(gather_sets, "sid LONG, vector BINARY, members BINARY")
-                 .dropDuplicates(["sid"]))
+    vectors = stage(texts.mapInArrow(gather_vectors, "sid LONG, n INT, vector BINARY"))
 
     def allowed(batches):
         for b in batches:
@@ -304,8 +336,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
             for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("va", "vb", "na", "nb"))):
                 x, y = read_vector(x, n), read_vector(y, m)
                 g = min(len(x), len(y))
-                ok.append(den * min(n, m) >= num * max(n, m)
-                          and int(np.minimum(fold(x, g), fold(y, g)).sum(dtype=np.int64)) >= _needed(n, m, num, den))
+                ok.append(int(np.minimum(fold(x, g), fold(y, g)).sum(dtype=np.int64)) >= _needed(n, m, num, den))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     def linked(batches):
@@ -318,16 +349,27 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
                 ok.append(den * overlap >= num * (len(x) + len(y) - overlap))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    def side(columns: dict[str, str], key: str) -> DataFrame:
-        t = sets.join(listed.select("sid", "n"), "sid") if "n" in columns else sets
-        return t.select(F.col("sid").alias(key), *[F.col(c).alias(n) for c, n in columns.items()])
+    def beside(pairs: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
+        """Pairs with a column of each of their two sets, named by side."""
+        for k in ("b", "a"):
+            pairs = pairs.join(table.select(F.col("sid").alias(k), F.col(column).alias(name + k)), k)
+        return pairs
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs of sets that link: the bound first, then whole sets."""
-        left = stage(pairs.join(side({"vector": "vb", "n": "nb"}, "b"), "b").join(side({"vector": "va", "n": "na"}, "a"), "a")
-                     .mapInArrow(allowed, "a LONG, b LONG"))
-        return stage(left.join(side({"members": "mb"}, "b"), "b").join(side({"members": "ma"}, "a"), "a")
-                     .mapInArrow(linked, "a LONG, b LONG"))
+        """Pairs of sets that link: sizes first, then the bound, then whole sets, read for what is left."""
+        sized = beside(pairs, listed, "n", "n").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+        left = stage(beside(sized, vectors, "vector", "v").mapInArrow(allowed, "a LONG, b LONG").distinct())
+        needed = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(listed, "sid")
+        in_pair = IdFilter(needed, "first")
+
+        def gather_members(batches):
+            for _, s, ids in sets_of(batches, in_pair):
+                members = [_pack(s.member[a:b]) for a, b in zip(s.first, s.first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(members, pa.binary())],
+                                                 names=["sid", "members"])
+
+        members = stage(texts.mapInArrow(gather_members, "sid LONG, members BINARY"))
+        return stage(beside(left, members, "members", "m").mapInArrow(linked, "a LONG, b LONG").distinct())
 
     # the hub of a list and one set more against all, every pair of a small one
     standing = lists.select("list", F.explode("sids").alias("sid"))
@@ -345,9 +387,9 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
                .join(home.withColumnRenamed("node", "sid"), "sid", "left")
                .select("list", "sid", F.coalesce("root", "sid").alias("root")))
     mixed = (entries.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list"))
-    # lists of one hub overlap much, so they share a bucket, where a pair is kept once
-    open_ = (entries.join(mixed.join(hubs, "list"), "list").join(side({"vector": "vector", "n": "n"}, "sid"), "sid")
-             .withColumn("bucket", F.pmod(F.xxhash64("hub"), F.lit(16 * tasks))))
+    # lists of one hub overlap much, so they share a few buckets, where a pair is kept once
+    open_ = (entries.join(mixed.join(hubs, "list"), "list").join(vectors, "sid")
+             .withColumn("bucket", F.pmod(F.xxhash64("hub", F.pmod("list", F.lit(8))), F.lit(16 * tasks))))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         found, waiting = np.zeros((0, 2), np.int64), []
