@@ -5,6 +5,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactlake.llm.tables import highest
+
 # Bins that raw scores are counted in before the monotone fit; at most so many rows reach the driver.
 BINS = 2_000
 
@@ -15,13 +17,13 @@ def remainder(id_col: str, modulus: int):
 
 
 def labelled(labels: DataFrame, label_col: str, held_out, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """doc_id and label (0, 1) of the rows to learn from, at most ``rows``, the same in every run.
+    """doc_id and label (0, 1) of the rows to learn from, at most ``rows``, chosen by a hash of the id.
 
     Null ids or labels are left out; of repeated ids the larger label counts.
     """
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out)
              .groupBy(F.col(id_col).alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label")))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return highest(known, F.pmod(F.xxhash64("doc_id"), F.lit(65_536)).cast("int"), rows)
 
 
 def isotonic(low: np.ndarray, total: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

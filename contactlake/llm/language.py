@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.llm.calibrate import remainder
-from contactlake.llm.tables import on_workers, stage, task_count
+from contactlake.llm.tables import highest, log_level, on_workers, stage, task_count
 from contactlake.llm.textarrays import Words, blocks, mix, string_block, words
 
 # Words that are contexts of their own; with the class of other words and the start they fit in 16 bits.
@@ -248,7 +248,7 @@ def language_scores(docs: DataFrame, modulus: int = 7, held_remainder: int = 2,
                     .groupBy("shard").applyInPandas(add_up, "word LONG, n LONG, kinds LONG"))
     total, kinds = counted.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     # at most CONTEXTS rows of two numbers
-    table = counted.where("word is not null").orderBy(F.desc("n"), "word").limit(CONTEXTS).toPandas()
+    table = highest(counted.where("word is not null"), log_level(F.col("n")), CONTEXTS).orderBy(F.desc("n"), "word").toPandas()
     word, n = table["word"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.int64)
     learned_texts = texts.where(~F.col("held_out")).count()
     real = word != END

@@ -5,13 +5,13 @@ import os
 import zipfile
 
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactlake.session import stage
 
-__all__ = ["on_workers", "prefix_sums", "read", "stage", "task_count"]
+__all__ = ["highest", "log_level", "on_workers", "prefix_sums", "read", "stage", "task_count"]
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
@@ -82,3 +82,23 @@ def prefix_sums(df: DataFrame, order: list[str], value: str) -> tuple[DataFrame,
            .select(*df.columns, (F.col("_sum") + F.col("_sum0")).alias("before"),
                    (F.col("_row") + F.col("_row0")).alias("place")))
     return out, total, count
+
+
+def log_level(value: Column) -> Column:
+    """Level of a positive number: the floor of 256 times its binary logarithm."""
+    return F.floor(F.log2(value) * 256).cast("int")
+
+
+def highest(df: DataFrame, level: Column, most: int) -> DataFrame:
+    """All rows of the highest levels that together hold at most ``most`` rows.
+
+    ``level`` has a bounded number of values (``log_level``: some thousands).  Only their counts
+    reach the driver, and no task or driver sorts rows; the first level that would not fit is
+    left out whole, so the rows do not depend on their order.
+    """
+    kept, lowest = 0, None
+    for value, rows in sorted(df.groupBy(level.alias("level")).count().collect(), key=lambda r: -r[0]):
+        if kept + rows > most:
+            return df.where(level >= lowest) if lowest is not None else df.limit(0)
+        kept, lowest = kept + rows, value
+    return df

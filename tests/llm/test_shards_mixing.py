@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from contactlake.llm.mixing import balance, mix_sources, round_rates, source_targets
 from contactlake.llm.shards import balanced_shards
-from contactlake.llm.tables import prefix_sums
+from contactlake.llm.tables import highest, log_level, prefix_sums
 
 
 def test_prefix_sums_over_partitions(spark):
@@ -22,6 +22,13 @@ def test_prefix_sums_over_partitions(spark):
     assert (total, count) == (at, 1000)
 
 
+def test_highest_levels_fit(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([1, 1, 1, 5, 5, 9, 100, 100_000])], "i INT, n INT")
+    for most, want in ((8, 8), (7, 5), (5, 5), (4, 3), (2, 2), (0, 0)):
+        assert highest(df, log_level(F.col("n")), most).count() == want
+    assert highest(df.limit(0), log_level(F.col("n")), 3).count() == 0
+
+
 def test_shards_are_even_gapless_and_keep_groups(spark):
     rng = np.random.Generator(np.random.PCG64(1))
     texts = ["x" * int(n) for n in rng.integers(0, 900, 3000)]
