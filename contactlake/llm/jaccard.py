@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.llm.components import components
-from contactlake.llm.tables import on_workers, stage, task_count
+from contactlake.llm.tables import highest, log_level, on_workers, stage, task_count
 from contactlake.llm.textarrays import SHINGLE_BITS, Sets, blocks, mix, shingle_sets, string_block, words
 
 # A shingle this frequent in one task is counted over all; the most frequent ones close a set's order.
@@ -284,8 +284,8 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     profiled = stage(texts.mapInArrow(profile, "kind BYTE, a LONG, b LONG, n INT"))
     rows = profiled.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), "n")
     # at most FREQUENT_MOST rows of two numbers
-    table = (profiled.where("kind = 1").groupBy("a").agg(F.sum("b").alias("times")).where(F.col("times") >= FREQUENT)
-             .orderBy(F.desc("times"), "a").limit(FREQUENT_MOST).toPandas())
+    counted = stage(profiled.where("kind = 1").groupBy("a").agg(F.sum("b").alias("times")).where(F.col("times") >= FREQUENT))
+    table = highest(counted, log_level(F.col("times")), FREQUENT_MOST).toPandas()
     frequent = _Frequent(table["a"].to_numpy(np.int64).view(np.uint64), table["times"].to_numpy(np.int64))
 
     # 2. postings of prefix shingles, packed by task and bucket, and the lists they make
