@@ -134,6 +134,7 @@ def finish_run(chosen: DataFrame, hits: DataFrame, pages: DataFrame, params: Dat
 def full_run(hits: DataFrame, params: DataFrame, pages: DataFrame, live: DataFrame | None, plan: NumberingPlan = RU,
              catalog_domains=V.CATALOG_DOMAINS, region_names=None, **lists) -> DataFrame:
     """Hits, briefs and pages -> deduplicated lead rows of every brief; quick briefs bring their own sites."""
+    params = stage(params)  # a row a brief, read by every phase
     found = candidate_job(hits, params, live, **lists).chosen
     chosen = union_all([df.select("brief_id", "ord", "domain", "title", "snippet", "engines", "queries")
                         for df in (found, seeded_candidates(params))])

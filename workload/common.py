@@ -14,7 +14,7 @@ from contactlake import fixed_values as V
 from contactlake.functions.phone import _CONTEXT, NANP, NumberingPlan
 from contactlake.functions.url import host
 from contactlake.plans.candidates import brief_parameters
-from contactlake.session import spread
+from contactlake.session import spread, stage
 from contactlake.sources.readers import parse_briefs
 
 # Word lists with words that occur in the data.
@@ -58,11 +58,11 @@ def by_brief_sql(values: dict, brief: str = "brief_id") -> str:
 
 
 def briefs(spark: SparkSession) -> DataFrame:
-    """The briefs as jobs take them: parsed from their JSON."""
+    """The briefs as jobs take them: parsed from their JSON, once."""
     common = dict(clientSite=f"https://{CLIENT}/", niche=NICHE, excludeDomains=", ".join(EXCLUDE),
                   regions="\n".join(REGIONS), queries="\n".join(BRIEF_QUERIES))
     rows = [(name, json.dumps(common | brief)) for name, brief in BRIEFS]
-    return brief_parameters(parse_briefs(spark.createDataFrame(rows, "brief_id STRING, value STRING")))
+    return stage(brief_parameters(parse_briefs(spark.createDataFrame(rows, "brief_id STRING, value STRING").coalesce(1))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
