@@ -31,6 +31,9 @@ LIST_SETS = 8_192
 # Lists up to this size have all their pairs verified at once.
 SMALL_LIST = 4
 LEAF, FAN = 32, 32
+# Bytes of text whose sets one task holds at once, and shingles it counts beside.
+BLOCK = 2 << 20
+COUNTED = 1 << 19
 _HEAVY = np.uint64(1 << SHINGLE_BITS)
 
 
@@ -251,7 +254,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     def sets_of(batches, wanted: IdFilter | None = None):
         for batch in batches:
             batch = batch if wanted is None else batch.filter(pa.array(wanted(batch.column("doc_id").to_numpy())))
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", BLOCK):
                 s = shingle_sets(words(*string_block(b.column("text"))), width)
                 yield b, s, set_ids(s)
 
@@ -265,7 +268,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
             both, at = np.unique(np.r_[often, more], return_inverse=True)
             times = np.bincount(at, np.r_[times, weight], len(both)).astype(np.int64)
             often = both
-            if len(often) > 4 << 20:    # a guide to the order only, so the rare ones may go
+            if len(often) > COUNTED:    # a guide to the order only, so the rare ones may go
                 often, times = often[times > 1], times[times > 1]
 
         for b, s, ids in sets_of(batches):

@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES)
+        size = 1 << max(16, int(n - 1).bit_length())
         out = np.full(size, base, np.uint64)
         out[0] = 1
         out = np.multiply.accumulate(out)
@@ -74,14 +74,14 @@ def string_block(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[start:int(offsets[-1])], offsets.astype(np.int64) - start
 
 
-def blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about BLOCK_BYTES of text, whole rows each."""
+def blocks(batch: pa.RecordBatch, text: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``size`` bytes of text, whole rows each."""
     if not batch.num_rows:
         return
     _, at = string_block(batch.column(text))
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, min(lo + BLOCK_ROWS, int(np.searchsorted(at, at[lo] + BLOCK_BYTES, "right")) - 1))
+        hi = max(lo + 1, min(lo + BLOCK_ROWS, int(np.searchsorted(at, at[lo] + size, "right")) - 1))
         yield batch.slice(lo, hi - lo)
         lo = hi
 
