@@ -23,7 +23,7 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.language_scores(read(spark, sf_dir, "documents"))
+    return language.language_scores(read(spark, sf_dir, "documents"), pooled_below=1)
 
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
