@@ -122,14 +122,15 @@ def can_resume(active: Column | None = None) -> Column:
     )
 
 
-def same_client(summaries: DataFrame, statuses: tuple[str, ...], newest: int = 30,
+def same_client(summaries: DataFrame, statuses: tuple[str, ...], newest: int | None = None,
                 exact_site: bool = False) -> DataFrame:
-    """Latest run per client in one of the statuses, among the newest runs.
+    """Latest run per client in one of the statuses.
 
-    ``exact_site`` compares the whole address, else the host.
+    ``newest`` looks at so many of the newest runs only (the reference: 30), whatever their client and
+    status; None at all.  ``exact_site`` compares the whole address, else the host.
     """
     site = F.regexp_replace(F.lower(F.trim("client_site")), "/+$", "") if exact_site else host(F.trim("client_site"))
-    recent = summaries.orderBy(F.col("created_at").desc(), F.col("id")).limit(newest)
+    recent = summaries if newest is None else summaries.orderBy(F.col("created_at").desc(), F.col("id")).limit(newest)
     return (
         recent.withColumn("client_key", site).where(F.col("client_key") != "")
         .where(F.col("status").isin(*statuses))

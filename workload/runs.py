@@ -91,6 +91,11 @@ def q_same_client(spark, sf_dir):
     return O.same_client(O.summarize_runs(runs(spark, sf_dir)), ("stopped", "running"), newest=1000).select("client_key", "id")
 
 
+def q_same_client_all(spark, sf_dir):
+    """Over all runs; q_same_client keeps to the newest 1000 of its SQL."""
+    return O.same_client(O.summarize_runs(runs(spark, sf_dir)), ("stopped", "running")).select("client_key", "id")
+
+
 def q_run_upsert(spark, sf_dir):
     raw = raw_runs(spark, sf_dir)
     e = table(spark, sf_dir, "events")
@@ -263,7 +268,7 @@ def q_legacy_sheet(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     q_runs_decode, q_run_results, q_run_summary, q_run_list, q_run_count, q_run_page, q_run_compare, q_resumable,
-    q_same_client, q_run_upsert, q_site_status, q_progress, q_reset_running, q_newest_version, q_result_filter,
+    q_same_client, q_same_client_all, q_run_upsert, q_site_status, q_progress, q_reset_running, q_newest_version, q_result_filter,
     q_result_sort, q_result_stats, q_region_groups, q_with_district, q_district_rollup, q_annotate,
     q_annotate_counts, q_mark_visible, q_briefs, q_legacy_sheet)}
 
@@ -329,6 +334,9 @@ SQL = {
     "q_same_client": f"""WITH r AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS id FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 1000)
         SELECT 'c' || o_custkey || '.example.com' AS client_key, arg_max(id, (o_orderdate, id)) AS id FROM r
         WHERE o_orderstatus <> 'F' GROUP BY 1""",
+    "q_same_client_all": """SELECT 'c' || o_custkey || '.example.com' AS client_key,
+        arg_max(CAST(o_orderkey AS VARCHAR), (o_orderdate, CAST(o_orderkey AS VARCHAR))) AS id FROM orders
+        WHERE o_orderstatus <> 'F' GROUP BY 1""",
     "q_run_upsert": f"""WITH u AS (SELECT CASE WHEN event_type = 'signup' THEN 'new-' ELSE '' END || user_id AS id,
           arg_max('s' || event_id, event_id) FILTER (WHERE event_type IN ('purchase', 'signup')) AS status,
           arg_max(props, event_id) FILTER (WHERE event_type = 'view') AS pipeline_json,
