@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactlake.llm import gif, jaccard, language, mixing, neighbours, packing, quality, shards, tokens, toxicity
+from contactlake.llm import bytebpe, gif, jaccard, language, mixing, neighbours, packing, quality, shards, tokens, toxicity
 from contactlake.llm.tables import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,7 @@ SHARDS = 24
 QUALITY_FROM = 0.3
 TOXIC_FROM = 0.7
 QUERY_EVERY = 20
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +63,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coder = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    out = bytebpe.decode(bytebpe.encode(read(spark, sf_dir, "documents"), *coder), *coder)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jaccard, op2_language, op3_gif, op4_quality, op5_neighbours, op6_token_counts, op7_packing,
-                            op8_toxicity, op9_shards, op10_mixing)}
+                            op8_toxicity, op9_shards, op10_mixing, op13_byte_bpe)}
 
 # Only near copies can be said in SQL: the others rest on hashes, models or tokenizers it lacks.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
