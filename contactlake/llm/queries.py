@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactlake.llm import bytebpe, gif, jaccard, language, merkle, mixing, neighbours, packing, quality, shards, tokens, toxicity
+from contactlake.llm import bytebpe, gif, jaccard, language, merkle, mixing, negatives, neighbours, packing, quality, shards, tokens, toxicity
 from contactlake.llm.tables import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,9 @@ QUALITY_FROM = 0.3
 TOXIC_FROM = 0.7
 QUERY_EVERY = 20
 TAMPERED_EVERY = 7
+ANCHOR_EVERY = 100
+MOVED_EVERY = 7
+LABELS = 10
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -73,6 +76,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % MOVED_EVERY == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), ANCHOR_EVERY, relabel=moved)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coder = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     out = bytebpe.decode(bytebpe.encode(read(spark, sf_dir, "documents"), *coder), *coder)
@@ -83,7 +91,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jaccard, op2_language, op3_gif, op4_quality, op5_neighbours, op6_token_counts, op7_packing,
-                            op8_toxicity, op9_shards, op10_mixing, op11_merkle, op13_byte_bpe)}
+                            op8_toxicity, op9_shards, op10_mixing, op11_merkle,
+                            op12_negatives, op13_byte_bpe)}
 
 # Only near copies can be said in SQL: the others rest on hashes, models or tokenizers it lacks.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,4 +158,22 @@ proofs AS (SELECT g, leaf_pos, sha256(string_agg(hash, '' ORDER BY level)) AS pr
 SELECT l.doc_id, l.leaf, t.subroot, r.hash AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
   e.folded_root, e.folded_root = r.hash AS verified
 FROM leaves l JOIN tops t ON t.g = l.g JOIN ends e ON e.g = l.g AND e.pos = l.pos
-LEFT JOIN proofs p ON p.g = l.g AND p.leaf_pos = l.pos CROSS JOIN (SELECT hash FROM high WHERE n = 1) r"""}
+LEFT JOIN proofs p ON p.g = l.g AND p.leaf_pos = l.pos CROSS JOIN (SELECT hash FROM high WHERE n = 1) r""",
+    "op12_negatives": """
+WITH base AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+  FROM base a JOIN base b ON a.vec_id % 100 = 0),
+near AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT n.anchor_id, positive_id, row_number() OVER (PARTITION BY n.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM near n JOIN scored s ON s.anchor_id = n.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""}
