@@ -17,8 +17,10 @@ from contactlake.llm.textarrays import blocks
 from contactlake.llm.tokens import byte_letters
 
 # Pieces of one of the two generations that a worker remembers, and the longest piece kept.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 LONGEST = 64
+# Text that is split into pieces at once.
+BLOCK_BYTES = 1 << 20
 
 # Letters, digits and space of these characters are the same in every version of Unicode's tables.
 _SETTLED = regex.compile(r"[\x00-ɏ]*").fullmatch
@@ -33,13 +35,42 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class ByteTable:
+    """The byte table of a rank file, reversed: bytes of every id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self._start = np.cumsum(self.length) - self.length
+        self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def starts(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """First byte of each id within its own text."""
+        size = self.length[ids]
+        before = np.cumsum(size) - size
+        has = np.diff(first) > 0
+        return before - np.repeat(before[first[:-1][has]], np.diff(first)[has])
+
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Bytes of all id lists, where each list's bytes start, and the number of bytes of each id."""
+        known = (ids >= 0) & (ids < len(self.length))
+        at = np.where(known, ids, 0)
+        size = np.where(known, self.length[at], 0)
+        end = np.cumsum(size)
+        place = np.repeat(self._start[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+        return self._bytes[place].tobytes(), np.r_[0, end][first], size
+
+
 class RankCoder:
     """A rank file as a BPE model of the tokenizers library, over the printable letters of bytes.
 
     A rank file merges every neighbouring pair whose joint bytes are a token, lowest rank first.
     The library merges listed pairs, so every way to split a token into two tokens is listed, in
     order of the token's rank.  Pieces of text are the matches of the pattern; each distinct
-    piece goes through the library once and is held against the rank file's own library.
+    piece goes through the library once, as a word of one sequence whose offsets, in letters and
+    so in bytes, show where it ends, and is held against the rank file's own library.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -52,28 +83,18 @@ class RankCoder:
         ranks = read_ranks(path)
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has every single byte")
-        letters = byte_letters()
-        self._letter = dict(enumerate(letters))
+        self._letter = dict(enumerate(byte_letters()))
         name = {t: t.decode("latin-1").translate(self._letter) for t in ranks}
         merges = []
-        for token, rank in ranks.items():
+        for token, rank in sorted(ranks.items(), key=lambda t: t[1]):
             ways = [(ranks[token[:i]], ranks[token[i:]], i) for i in range(1, len(token))
                     if token[:i] in ranks and token[i:] in ranks]
-            merges += [(rank, way, name[token[:way[2]]], name[token[way[2]:]]) for way in sorted(ways)]
-        merges.sort(key=lambda m: m[:2])
-        self._library = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()},
-                                             merges=[(a, b) for _, _, a, b in merges]))
+            merges += [(name[token[:i]], name[token[i:]]) for _, _, i in sorted(ways)]
+        self._library = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges))
         self._exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._tiktoken = tiktoken
         self._pattern = regex.compile(pattern)
-        # the byte table, reversed: bytes of every id, one after the other
-        tokens = [b""] * (max(ranks.values()) + 1)
-        back = {c: b for b, c in enumerate(letters)}
-        for token, rank in self._library.get_vocab().items():
-            tokens[rank] = bytes(map(back.__getitem__, token))
-        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        self._start = np.cumsum(self.length) - self.length
-        self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.table = ByteTable(ranks)
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._stand_in: dict[int, str] | None = None
@@ -109,14 +130,17 @@ class RankCoder:
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each piece."""
         words = [p.encode().decode("latin-1").translate(self._letter) for p in pieces]
-        out = []
-        for piece, found in zip(pieces, self._library.encode_batch(words, add_special_tokens=False)):
-            ids = np.array(found.ids, "<i4")
-            # a letter stands for one byte, so offsets in letters are offsets in bytes
-            whole = [e for _, e in found.offsets] == np.cumsum(self.length[ids]).tolist()
-            exact = self._exact.encode_ordinary(piece)
-            out.append(ids.tobytes() if whole and found.ids == exact else np.array(exact, "<i4").tobytes())
-        return out
+        found = self._library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        # a word's first token is the one whose offset is 0
+        ids, begin = np.array(found.ids, "<i4"), np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        cut = np.r_[np.flatnonzero(begin == 0), len(ids)]
+        exact = list(map(self._exact.encode_ordinary, pieces))
+        size = np.fromiter(map(len, exact), np.int64, len(exact))
+        checked = np.fromiter(chain.from_iterable(exact), "<i4", int(size.sum()))
+        if len(cut) != len(pieces) + 1 or not np.array_equal(ids, checked) or not np.array_equal(np.diff(cut), size):
+            ids, cut = checked, np.r_[0, np.cumsum(size)]
+        raw, at = ids.tobytes(), (4 * cut).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of all given pieces; long ones are not remembered."""
@@ -150,22 +174,6 @@ class RankCoder:
         np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4, out=first[1:])
         return np.frombuffer(b"".join(raw), "<i4"), first
 
-    def starts(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """First byte of each id within its own text."""
-        size = self.length[ids]
-        before = np.cumsum(size) - size
-        has = np.diff(first) > 0
-        return before - np.repeat(before[first[:-1][has]], np.diff(first)[has])
-
-    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """Bytes of all id lists, where each list's bytes start, and the number of bytes of each id."""
-        known = (ids >= 0) & (ids < len(self.length))
-        at = np.where(known, ids, 0)
-        size = np.where(known, self.length[at], 0)
-        end = np.cumsum(size)
-        place = np.repeat(self._start[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)
-        return self._bytes[place].tobytes(), np.r_[0, end][first], size
-
 
 def token_texts(raw: bytes, sizes: np.ndarray) -> list[str]:
     """The text of each token; a character over several tokens belongs to the one that ends it.
@@ -189,6 +197,11 @@ def token_texts(raw: bytes, sizes: np.ndarray) -> list[str]:
     return [text[a:b] for a, b in zip([0, *done.tolist()], done.tolist())]
 
 
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> ByteTable:
+    return ByteTable(read_ranks(path))
+
+
 @lru_cache(maxsize=2)
 def rank_coder(path: str, pattern: str) -> RankCoder:
     return RankCoder(path, pattern)
@@ -208,11 +221,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         coder = rank_coder(path, pattern)
         for batch in batches:
-            for b in blocks(batch, text_col):
+            for b in blocks(batch, text_col, BLOCK_BYTES):
                 ids, first = coder.encode(b.column(text_col).fill_null("").to_pylist())
                 columns, names = [b.column(id_col), _lists(ids, first)], ["doc_id", "ids"]
                 if offsets:
-                    columns, names = [*columns, _lists(coder.starts(ids, first), first)], [*names, "starts"]
+                    columns, names = [*columns, _lists(coder.table.starts(ids, first), first)], [*names, "starts"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return on_workers(docs).select(id_col, text_col).mapInArrow(
@@ -223,7 +236,7 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", texts: bool = False) -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", texts: bool = False) -> DataFrame:
     """All columns, with ``bytes`` (binary) of each id list, and ``pieces`` (text of each id) if ``texts``.
 
     In ``pieces`` a character whose bytes lie in several ids belongs to the id that ends it, the
@@ -238,13 +251,13 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", te
         schema = schema.add("pieces", T.ArrayType(T.StringType()))
 
     def run(batches):
-        coder = rank_coder(path, pattern)
+        table = byte_table(path)
         for b in batches:
             lists = b.column(at)
             size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             first = np.r_[0, np.cumsum(size)]
             ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, begin, sizes = coder.decode(ids, first)
+            raw, begin, sizes = table.decode(ids, first)
             rows = [raw[lo:hi] for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist())]
             columns = [*b.columns, pa.array(rows, pa.binary())]
             if texts:

@@ -82,8 +82,8 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coder = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    out = bytebpe.decode(bytebpe.encode(read(spark, sf_dir, "documents"), *coder), *coder)
+    path = public_tokenizers.path(RANKS)
+    out = bytebpe.decode(bytebpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                       F.sha2("bytes", 256).alias("decoded_sha256"))

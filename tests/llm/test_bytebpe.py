@@ -25,7 +25,7 @@ def plain():
 
 def check(coder, plain, texts):
     ids, first = coder.encode(texts)
-    raw, begin, _ = coder.decode(ids, first)
+    raw, begin, _ = coder.table.decode(ids, first)
     for k, t in enumerate(texts):
         mine = ids[first[k]:first[k + 1]].tolist()
         assert mine == plain.encode_ordinary(t), t
@@ -83,7 +83,7 @@ def test_split_characters():
 
 def test_odd_documents(spark, plain):
     docs = odd_documents(spark)
-    out = bytebpe.decode(bytebpe.encode(docs, PATH, PATTERN, offsets=True), PATH, PATTERN, texts=True).collect()
+    out = bytebpe.decode(bytebpe.encode(docs, PATH, PATTERN, offsets=True), PATH, texts=True).collect()
     want = sorted((r[0] is None, r[0], plain.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in odd_rows())
     assert sorted((r.doc_id is None, r.doc_id, list(r.ids), bytes(r.bytes)) for r in out) == want
     for r in out:
@@ -91,12 +91,12 @@ def test_odd_documents(spark, plain):
         for i, s in zip(r.ids, r.starts):
             token = plain.decode_single_token_bytes(i)
             assert bytes(r.bytes)[s:s + len(token)] == token
-    assert bytebpe.decode(bytebpe.encode(no_documents(spark), PATH, PATTERN), PATH, PATTERN).count() == 0
+    assert bytebpe.decode(bytebpe.encode(no_documents(spark), PATH, PATTERN), PATH).count() == 0
 
 
 def test_foreign_ids(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [64, None, -5, 10**8, 65])], "bytes INT, ids ARRAY<INT>")
-    out = bytebpe.decode(rows.withColumnRenamed("bytes", "k"), PATH, PATTERN, texts=True).orderBy("k").collect()
+    out = bytebpe.decode(rows.withColumnRenamed("bytes", "k"), PATH, texts=True).orderBy("k").collect()
     assert [bytes(r.bytes) for r in out] == [b"", b"", b"ab"]
     assert [r.pieces for r in out] == [[], [], ["a", "", "", "", "b"]]
 
