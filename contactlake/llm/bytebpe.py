@@ -21,6 +21,8 @@ REMEMBERED = 150_000
 LONGEST = 64
 # Text that is split into pieces at once.
 BLOCK_BYTES = 1 << 20
+# Ids that are decoded at once.
+BLOCK_IDS = 1 << 17
 
 # Letters, digits and space of these characters are the same in every version of Unicode's tables.
 _SETTLED = regex.compile(r"[\x00-ɏ]*").fullmatch
@@ -236,6 +238,20 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+def _ends(lists: pa.Array) -> np.ndarray:
+    """Where each list starts; one more entry closes the last.  Null lists are empty."""
+    return np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))]
+
+
+def _few_ids(batch: pa.RecordBatch, at: int):
+    """The batch in pieces of about BLOCK_IDS ids, whole rows each."""
+    first, lo = _ends(batch.column(at)), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + BLOCK_IDS, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", texts: bool = False) -> DataFrame:
     """All columns, with ``bytes`` (binary) of each id list, and ``pieces`` (text of each id) if ``texts``.
 
@@ -252,18 +268,18 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", texts: bool = Fa
 
     def run(batches):
         table = byte_table(path)
-        for b in batches:
-            lists = b.column(at)
-            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            first = np.r_[0, np.cumsum(size)]
-            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, begin, sizes = table.decode(ids, first)
-            rows = [raw[lo:hi] for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist())]
-            columns = [*b.columns, pa.array(rows, pa.binary())]
-            if texts:
-                cut = first.tolist()
-                columns.append(pa.array([token_texts(r, sizes[i:j]) for r, i, j in zip(rows, cut, cut[1:])],
-                                        pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for batch in batches:
+            for b in _few_ids(batch, at):
+                lists = b.column(at)
+                first = _ends(lists)
+                ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                raw, begin, sizes = table.decode(ids, first)
+                rows = [raw[lo:hi] for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                columns = [*b.columns, pa.array(rows, pa.binary())]
+                if texts:
+                    cut = first.tolist()
+                    columns.append(pa.array([token_texts(r, sizes[i:j]) for r, i, j in zip(rows, cut, cut[1:])],
+                                            pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return on_workers(encoded).select(*kept).mapInArrow(run, schema)

@@ -115,3 +115,10 @@ def test_query_on_a_given_table(spark, plain):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_blocks_of_ids(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [64 + k % 3] * (k % 5)) for k in range(40)], "k INT, ids ARRAY<INT>").coalesce(1)
+    monkeypatch.setattr(bytebpe, "BLOCK_IDS", 4)
+    out = bytebpe.decode(rows, PATH).orderBy("k").collect()
+    assert [bytes(r.bytes) for r in out] == [b"abc"[k % 3:k % 3 + 1] * (k % 5) for k in range(40)]
