@@ -1,58 +1,22 @@
-"""Which needle occurs in which text, without comparing every text with every needle.
+"""Which needle occurs in which text first, without comparing every text with every needle.
 
-Both sides are cut into four-character grams and joined on the gram that occurs in the
-fewest texts, so a needle meets only texts that hold its rarest piece.  The answer is
-exact: survivors are checked with ``contains``, and a needle no longer than a gram is
-decided by the gram alone.
+All needles stand in one automaton (``lexicon``); each text goes through it once, in place.
+Only pairs of a needle and a text's key leave that pass, and they are reduced to the first key
+of each needle before they are shuffled, so no text moves and a common needle is no hot key.
 """
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 4
-
-
-def _grams(text: Column, size: int) -> Column:
-    # overlapping pieces by look-ahead: linear in the text, unlike repeated substring
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+from contactlake.operators.lexicon import LIMIT_BYTES, find_terms
 
 
 def first_containing(texts: DataFrame, needles: DataFrame, by: list[str], key: str,
-                     text: str = "text", needle: str = "needle") -> DataFrame:
+                     text: str = "text", needle: str = "needle", limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """Smallest ``key`` of the texts that contain each needle, within equal ``by`` columns.
 
-    ``key`` must identify a text within ``by``.  Returns ``by``, ``needle``, ``key``;
-    needles that occur nowhere are absent.
+    Returns ``by``, ``needle``, ``key``; needles that occur nowhere are absent.
     """
-    wanted = needles.select(*by, needle).where(F.col(needle) != "").distinct()
-    pieces = texts.select(*by, key, F.explode(
-        F.concat(*[_grams(F.col(text), n) for n in range(1, GRAM + 1)])).alias("gram"))
-
-    # one pass over the pieces: how many texts hold each, and the first of them
-    index = pieces.groupBy(*by, "gram").agg(F.count("*").alias("df"), F.min(key).alias("first_key"))
-    short = (
-        wanted.where(F.length(needle) <= GRAM)
-        .join(index.withColumnRenamed("gram", needle), [*by, needle])
-        .select(*by, needle, F.col("first_key").alias(key))
-    )
-    long_pieces = wanted.where(F.length(needle) > GRAM).withColumn("parts", _grams(F.col(needle), GRAM))
-    anchors = (
-        long_pieces.select(*by, needle, F.size("parts").alias("n_parts"), F.explode("parts").alias("gram"))
-        .join(index, [*by, "gram"])
-        .groupBy(*by, needle)
-        .agg(F.min_by("gram", "df").alias("gram"), F.count("*").alias("seen"), F.first("n_parts").alias("n_parts"))
-        .where("seen = n_parts")  # a gram found nowhere rules the needle out
-        .select(*by, needle, "gram")
-    )
-    long = (
-        pieces.where(F.length("gram") == GRAM)
-        .join(anchors, [*by, "gram"])
-        .select(*by, needle, key)
-        .join(texts.select(*by, key, text), [*by, key])
-        .where(F.contains(text, F.col(needle)))
-        .groupBy(*by, needle).agg(F.min(key).alias(key))
-    )
-    return reduce(DataFrame.unionByName, [short, long])
+    found = find_terms(texts, needles.select(*by, needle), [*by, key], tuple(by), text, needle, limit_bytes)
+    return found.groupBy(*by, needle).agg(F.min(key).alias(key))
