@@ -81,3 +81,36 @@ def test_late_pages_are_kept_and_far_repeats_are_not_written_again(spark, tmp_pa
         deliver(spark, rows, src)
         C.run_available(C.page_contact_stream(C.read_stream(spark, src, PAGE)), out, state)
     assert found(spark, out) == [("a.ru", "74951112233"), ("b.ru", "74951112233"), ("b.ru", "79030000001")]
+
+
+def test_what_went_out_is_state_and_not_read_back(spark, tmp_path):
+    """Batches with another output folder each: contacts of earlier ones are still known."""
+    src, state = str(tmp_path / "src"), str(tmp_path / "state")
+    outs = []
+    for i, rows in enumerate((PAGES[:2], PAGES[2:], PAGES[:4])):
+        deliver(spark, rows, src)
+        outs.append(str(tmp_path / f"out{i}"))
+        C.run_available(C.page_contact_stream(C.read_stream(spark, src, PAGE)), outs[-1], state)
+    assert sorted(c for o in outs for c in found(spark, o)) == WANT
+    assert found(spark, outs[0]) == WANT[:2] and found(spark, outs[2]) == []
+
+
+def test_earliest_of_a_batch_and_thinning(spark, tmp_path):
+    rows = [page(i, f"https://a.ru/{i}", "8 495 111 22 33") for i in range(40, 0, -1)] + [page(5, None, "8 495 111 22 33")]
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    deliver(spark, rows, src)
+    C.run_available(C.page_contact_stream(C.read_stream(spark, src, PAGE)), out, str(tmp_path / "state"))
+    got = {r.site: r.at.minute for r in spark.read.parquet(out).collect()}
+    assert got["a.ru"] == 1
+
+
+def test_time_to_live(spark, tmp_path):
+    import time
+
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for _ in range(2):
+        deliver(spark, PAGES[:1], src)
+        C.run_available(C.page_contact_stream(C.read_stream(spark, src, PAGE)), out, state, ttl=datetime.timedelta(seconds=1))
+        time.sleep(1.5)
+    assert found(spark, out) == [("a.ru", "74951112233")] * 2
+
