@@ -1,8 +1,7 @@
 """Live status per (run, site) from the append-only run log.
 
-Every micro-batch is reduced to its latest entry per site and written under its batch
-number, overwriting that one folder: a repeated batch leaves the same files, and no state
-is kept between batches.  Readers take the newest entry over all folders.
+Every micro-batch is reduced to its latest entry per site and becomes a run of a merged table;
+readers take one version of that table, whose size is that of the sites and not of the log.
 """
 from __future__ import annotations
 
@@ -11,16 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from contactlake.operators.runs import progress
+from contactlake.sources.merged import FAN_IN, MergedTable
 
-SCHEMA = "run_id STRING, site STRING, at STRUCT<ts: TIMESTAMP, seq: BIGINT>, status STRING, batch_id BIGINT"
+SCHEMA = "run_id STRING, site STRING, at STRUCT<ts: TIMESTAMP, seq: BIGINT>, status STRING"
 
 
-def run_status_stream(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def status_table(spark: SparkSession, out: str, fan_in: int = FAN_IN) -> MergedTable:
+    return MergedTable(spark, out, SCHEMA, ("run_id", "site"), "at", fan_in)
+
+
+def run_status_stream(log: DataFrame, out: str, checkpoint: str, fan_in: int = FAN_IN) -> StreamingQuery:
     """``log``: run_id, site, ts, seq, status (streaming)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.where(F.col("site").isNotNull()).groupBy("run_id", "site").agg(
-            F.max(F.struct("ts", "seq")).alias("at"), F.max_by("status", F.struct("ts", "seq")).alias("status"))
-        latest.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        rows = batch.where(F.col("site").isNotNull()).select("run_id", "site", F.struct("ts", "seq").alias("at"), "status")
+        status_table(batch.sparkSession, out, fan_in).add(rows, batch_id)
 
     q = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
@@ -29,8 +32,7 @@ def run_status_stream(log: DataFrame, out: str, checkpoint: str) -> StreamingQue
 
 
 def site_status(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(out).groupBy("run_id", "site").agg(
-        F.max_by("status", "at").alias("status"))
+    return status_table(spark, out).read().select("run_id", "site", "status")
 
 
 def run_progress(spark: SparkSession, out: str, runs: DataFrame, steps: DataFrame,
