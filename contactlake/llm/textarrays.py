@@ -113,6 +113,16 @@ def words(data: np.ndarray, at: np.ndarray) -> Words:
     return Words(doc, hashes, first)
 
 
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word of a block and the byte behind its last, in the order of words()."""
+    ink = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    start = np.flatnonzero(ink & (edge[:-1] | ~np.r_[False, ink[:-1]][:len(data)]))
+    end = np.flatnonzero(ink & (edge[1:] | ~np.r_[ink[1:], False][:len(data)])) + 1
+    return start, end
+
+
 def hash_word(word: str) -> int:
     """Hash of one word, as words() gives it."""
     raw = np.frombuffer(word.encode(), np.uint8)
