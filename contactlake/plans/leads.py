@@ -16,6 +16,7 @@ from contactlake.operators.links import page_budget, top_links, visit_order
 from contactlake.plans.candidates import candidate_job, searching, seeded_candidates
 from contactlake.session import stage
 from contactlake.sources.readers import union_all
+from contactlake.sources.snapshot import has_page, pages_at
 
 
 PATHS = ("/",) + V.CONTACT_PATHS + V.ABOUT_PATHS
@@ -37,13 +38,17 @@ def planned_visits(pages: DataFrame, depth: int = 2, paths: tuple[str, ...] = PA
     )
 
 
-def deep_visits(pages: DataFrame, depth: int) -> DataFrame:
+def deep_visits(pages: DataFrame, depth: int, sites: DataFrame | None = None) -> DataFrame:
     """Fixed path plus, where the budget allows (depth 4 and 5), links found on visited pages.
 
     Links queue up in visiting order, the best eight per page; a link without a snapshot
-    page still uses up budget.  Each level keeps at most the free budget per site.
+    page still uses up budget.  Each level keeps at most the free budget per site.  ``sites`` (site)
+    picks the sites; urls are picked, and html is joined by url, where a snapshot has it in place.
     """
     fixed = planned_visits(pages, depth)
+    if sites is not None:
+        mine = stage(fixed.drop("html").join(sites.distinct(), "site", "left_semi"))
+        fixed = pages_at(pages, mine).select(*fixed.columns)
     free = page_budget(depth) - len(PATHS)
     if free <= 0:
         return fixed
@@ -61,12 +66,10 @@ def deep_visits(pages: DataFrame, depth: int) -> DataFrame:
         fresh = stage(targets)
         known = known.unionByName(fresh.select("site", "url"))
         found.append(fresh)
-        frontier = fresh.join(pages.select("url", "html"), "url").select("site", "visit", "url", "html")
+        frontier = pages_at(pages, fresh).select("site", "visit", "url", "html")
     by_visit = Window.partitionBy("site").orderBy("visit")
-    extra = (
-        union_all(found).withColumn("n", F.row_number().over(by_visit)).where(F.col("n") <= free)
-        .join(pages.select("url", "html"), "url").select("site", "visit", "url", "html")
-    )
+    extra = pages_at(pages, union_all(found).withColumn("n", F.row_number().over(by_visit)).where(F.col("n") <= free)).select(
+        "site", "visit", "url", "html")
     return fixed.unionByName(extra)
 
 
@@ -83,7 +86,7 @@ def catalog_pages(hits: DataFrame, pages: DataFrame, plan: NumberingPlan = RU,
                   domains=V.CATALOG_DOMAINS) -> DataFrame:
     """Parsed catalogue pages per brief: brief_id, url, body, contacts."""
     urls = catalog_urls(hits, domains).select("brief_id", "url")
-    named = pages.select("url", "html").join(urls.select("url").distinct(), "url", "left_semi")
+    named = has_page(pages.select("url", "html"), urls)
     parsed = page_contacts(named, plan)
     return urls.join(parsed.select("url", "body", "contacts"), "url")
 
@@ -99,9 +102,7 @@ def visits_of(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     for depth in range(1, deepest + 1):
         if page_budget(depth) > len(PATHS):
             sites = wanted.where(F.col("crawl_depth") == depth).select("site")
-            mine = pages.withColumn("_site", host(F.col("url"))).join(
-                sites.withColumnRenamed("site", "_site"), "_site", "left_semi").drop("_site")
-            out.append(deep_visits(mine, depth).where(F.col("visit") >= 100)
+            out.append(deep_visits(pages, depth, sites).where(F.col("visit") >= 100)
                        .select("site", "visit", "url", F.lit(depth).alias("crawl_depth")))
     return union_all(out)
 
@@ -120,7 +121,7 @@ def finish_run(chosen: DataFrame, hits: DataFrame, pages: DataFrame, params: Dat
         chosen.select("brief_id", "ord", "domain", "title", "snippet", "engines", "queries").join(by_brief, "brief_id")
         .where(F.array_contains("sources", "site")).drop("sources"))
     visits = stage(visits_of(pages, picked.select(F.col("domain").alias("site"), "crawl_depth").distinct()))
-    read = pages.select("url", "html").join(visits.select("url").distinct(), "url", "left_semi")
+    read = has_page(pages.select("url", "html"), visits)
     parsed = stage(page_contacts(read, plan).select("url", "title", "body", "contacts"))
     keys = ("site", "crawl_depth")
     sites = crawl_results(one_per_visit(parsed.join(visits, "url"), keys=keys), keys=keys)

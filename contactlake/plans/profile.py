@@ -8,18 +8,23 @@ from contactlake.functions.url import host
 from contactlake.operators.html import flatten_pages, page_content
 from contactlake.operators.links import section_links
 from contactlake.operators.profile import merge_pages, profile_sites
+from contactlake.sources.snapshot import has_page, pages_at
 
 
 def survey_pages(pages: DataFrame) -> DataFrame:
-    """Home page and up to four section pages of each site: site, visit, url, html."""
-    sited = pages.withColumn("site", host(F.col("url")))
-    home_urls = sited.where(F.col("url").rlike(r"^[a-zA-Z]+://[^/?#]*/?$")).groupBy("site").agg(
+    """Home page and up to four section pages of each site: site, visit, url, html.
+
+    Sites are worked out from urls alone; html is joined by url, so over a snapshot (bucketed by
+    url) it is read in place.
+    """
+    site = host(F.col("url")).alias("site")
+    home_urls = pages.where(F.col("url").rlike(r"^[a-zA-Z]+://[^/?#]*/?$")).select("url", site).groupBy("site").agg(
         F.min("url").alias("url"))
-    homes = sited.join(home_urls, ["site", "url"], "left_semi").select("site", "url", "html")
+    homes = has_page(pages, home_urls).select(site, "url", "html")
     sections = section_links(flatten_pages(homes))
     visits = home_urls.withColumn("visit", F.lit(0)).unionByName(
         sections.select("site", F.col("target").alias("url"), F.col("rank").alias("visit")))
-    return visits.join(sited.select("url", "html"), "url")
+    return pages_at(pages, visits)
 
 
 def profile_job(visits: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Phones in texts and pages, urls and links."""
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from contactlake.operators.contacts import (
     crawl_results, first_per_site, limit_visits, phone_counts, pick_by_site, primary_secondary, text_contacts,
 )
 from contactlake.operators.links import expand_frontier, page_links, section_links, top_links
-from contactlake.session import stage
+from contactlake.session import shared_dir, stage
+from contactlake.sources.snapshot import pages_at, read_snapshot, write_snapshot
 from workload.common import (
     PLAIN_TEXT_SQL, contacts_sql, documents, host_sql, pages, q, table, type_sql,
 )
@@ -146,6 +148,15 @@ def q_frontier(spark, sf_dir):
     return expand_frontier(best, seeds, 2)
 
 
+def q_snapshot_lookup(spark, sf_dir):
+    """Pages of all hit urls, looked up in a snapshot bucketed by url."""
+    name = uuid.uuid4().hex
+    write_snapshot(table(spark, sf_dir, "pages").select("url", "html"), f"pages_{name}", f"{shared_dir(spark)}/pages-{name}")
+    urls = hits(spark, sf_dir).groupBy("url").agg(F.count("*").alias("n_hits"))
+    return pages_at(read_snapshot(spark, f"pages_{name}"), urls).select(
+        "url", "n_hits", F.octet_length("html").cast("long").alias("html_bytes"))
+
+
 def q_site_input(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     prose = F.concat(F.lit("See <"), "url", F.lit(">, or write."))
@@ -157,7 +168,7 @@ def q_site_input(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     q_host, q_url_normal, q_contacts_text, q_contacts_text_trunk, q_contacts_html, q_phone_policy,
     q_phone_display, q_primary_phones, q_phone_overflow, q_phone_hint, q_phone_flag, q_first_contact_page,
-    q_snippet_fallback, q_links, q_links_top, q_section_links, q_frontier, q_site_input)}
+    q_snippet_fallback, q_links, q_links_top, q_section_links, q_frontier, q_snapshot_lookup, q_site_input)}
 
 _ORIGIN = "regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)"
 _PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
@@ -286,6 +297,8 @@ SQL = {
         s2 AS (SELECT DISTINCT site, target AS url FROM s1 JOIN e USING (site, url)
                EXCEPT (SELECT site, url FROM s0 UNION ALL SELECT site, url FROM s1))
         SELECT site, url, 0 AS level FROM s0 UNION ALL SELECT site, url, 1 FROM s1 UNION ALL SELECT site, url, 2 FROM s2""",
+    "q_snapshot_lookup": f"""WITH {HITS_SQL}, u AS (SELECT url, count(*) AS n_hits FROM hits GROUP BY url)
+        SELECT url, n_hits, CAST(strlen(html) AS BIGINT) AS html_bytes FROM u JOIN (SELECT url, html FROM pages) p USING (url)""",
     "q_site_input": f"""SELECT page_id, {_NORMAL} AS from_prose,
         'https://' || {host_sql('url')} || '/Path' AS from_bare, CAST(NULL AS VARCHAR) AS none FROM pages""",
 }

@@ -1,14 +1,17 @@
 """Run store, result grid, briefs and legacy sheets."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contactlake import fixed_values as V
 from contactlake.operators import results as R
 from contactlake.operators import runs as O
+from contactlake.operators.ranked import ranked, ranked_page, write_ranked
 from contactlake.sources.readers import decode_runs, legacy_rows, parse_briefs, region_label, regions, run_results
-from contactlake.sources.writers import upsert_runs
-from contactlake.session import spread
+from contactlake.sources.runstore import create_store, read_store, upsert_store
+from contactlake.session import shared_dir, spread
 from workload.common import q, table
 
 
@@ -74,7 +77,9 @@ def q_run_count(spark, sf_dir):
 
 def q_run_page(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    return O.page_of(o, 3, F.col("o_totalprice").desc(), F.col("o_orderkey"))
+    path = f"{shared_dir(spark)}/grid-{uuid.uuid4().hex}"
+    write_ranked(o, path, F.col("o_totalprice").desc(), F.col("o_orderkey"))
+    return ranked_page(spark, path, 3)
 
 
 def q_run_compare(spark, sf_dir):
@@ -106,7 +111,10 @@ def q_run_upsert(spark, sf_dir):
         F.lit(None).cast("string").alias("brief_json"), F.when(F.col("event_type") == "view", F.col("props")).alias("pipeline_json"),
         F.lit(None).cast("string").alias("results_json"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
         F.lit(None).cast("int").alias("is_demo"))
-    return upsert_runs(raw, updates, F.lit("2026-01-01T00:00:00")).select(
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    create_store(raw, path)
+    upsert_store(spark, path, updates, F.lit("2026-01-01T00:00:00"))
+    return read_store(spark, path).select(
         "id", "status", "pipeline_json", F.coalesce("error", F.lit("-")).alias("error"), "is_demo", "created_at", "updated_at")
 
 
@@ -176,7 +184,7 @@ def q_result_filter(spark, sf_dir):
 
 
 def q_result_sort(spark, sf_dir):
-    return grid(spark, sf_dir).orderBy(*R.grid_order("offer", descending=True)).limit(100).select("ord", "offer")
+    return ranked(grid(spark, sf_dir), *R.grid_order("offer", descending=True)).select("ord", "offer", "rank")
 
 
 def q_result_stats(spark, sf_dir):
@@ -323,8 +331,8 @@ SQL = {
         ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 50""",
     "q_run_count": """SELECT count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS total, 'blank' AS scope FROM orders
         UNION ALL SELECT count(*), 'all' FROM orders""",
-    "q_run_page": """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders
-        ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100""",
+    "q_run_page": """SELECT o_orderkey, o_totalprice, o_orderstatus, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank
+        FROM orders QUALIFY rank BETWEEN 101 AND 150""",
     "q_run_compare": """WITH a AS (SELECT DISTINCT o_custkey AS site FROM orders WHERE year(o_orderdate) = 1996),
         b AS (SELECT DISTINCT o_custkey AS site FROM orders WHERE year(o_orderdate) = 1997)
         SELECT coalesce(a.site, b.site) AS site, CASE WHEN a.site IS NULL THEN 'new' WHEN b.site IS NULL THEN 'removed'
@@ -369,7 +377,7 @@ SQL = {
     "q_result_filter": f"""WITH {_GRID} SELECT ord, site, region, p1, p2 FROM g WHERE
         (status = {q(V.STATUS_FOUND)} AND p2_type = 'mobile' AND NOT for_definition AND contains({_HAY}, 'c1'))
         OR (region = 'NATION_3' AND p1_type = 'city')""",
-    "q_result_sort": f"WITH {_GRID} SELECT ord, offer FROM g ORDER BY lower(offer) DESC, ord LIMIT 100",
+    "q_result_sort": f"WITH {_GRID} SELECT ord, offer, row_number() OVER (ORDER BY lower(offer) DESC, ord) AS rank FROM g",
     "q_result_stats": f"""WITH {_GRID} SELECT offer, count(*) AS total, count(*) FILTER (WHERE p1 IS NOT NULL OR p2 IS NOT NULL) AS with_phone,
         count(*) FILTER (WHERE for_definition) AS marked, count(*) FILTER (WHERE status <> {q(V.STATUS_FOUND)}) AS excluded FROM g GROUP BY 1""",
     "q_region_groups": f"WITH {_GRID} SELECT coalesce(nullif(region, ''), {q(V.NO_REGION)}) AS region, count(*) AS n FROM g GROUP BY 1",
