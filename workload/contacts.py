@@ -18,7 +18,7 @@ from contactlake.operators.links import expand_frontier, page_links, section_lin
 from contactlake.session import shared_dir, stage
 from contactlake.sources.snapshot import pages_at, read_snapshot, write_snapshot
 from workload.common import (
-    PLAIN_TEXT_SQL, contacts_sql, documents, host_sql, pages, q, table, type_sql,
+    HITS_SQL, PLAIN_TEXT_SQL, contacts_sql, documents, hits, host_sql, pages, q, table, type_sql,
 )
 
 RU_TRUNK = replace(RU, bare_run=None)
