@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactlake.session import stage
+
 # Bytes of terms (and a flat share for each row) that one automaton holds.
 LIMIT_BYTES = 16 << 20
 ROW_BYTES = 64
@@ -90,6 +92,8 @@ def find_terms(texts: DataFrame, lexicon: DataFrame, keys: list[str], by: tuple
     rows = rows.select(*(F.col(c).cast(types[c]).alias(c) if c in by else F.col(c) for c in rows.columns))
     fields = [f"`{c}` {types[c]}" for c in keys] + [f"`{c}` {t}" for c, t in rows.dtypes if c in kept]
     schema = ", ".join([*fields, "place INT", "times INT"])
+    if _size(rows, term) > limit_bytes:
+        rows = stage(rows)  # read by every part
     parts = lexicon_parts(rows, by, term, limit_bytes)
     if not parts:
         return texts.sparkSession.createDataFrame([], schema)
