@@ -14,6 +14,9 @@ from workload import runs as R
 from workload.common import PLAIN_TEXT_SQL, contacts_sql, host_sql
 
 
+# A pattern that only the table itself fits: file streams take a folder or a pattern, and a table may be a file.
+
+
 def _work(spark):
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -26,7 +29,7 @@ def _texts(stream):
 def q_stream_contacts(spark, sf_dir):
     """Every document once through the text stream; a (source, phone) pair goes out once."""
     work = _work(spark)
-    run_available(_texts(read_stream(spark, sf_dir, S.DOCUMENTS, "documents.parquet")), f"{work}/out", f"{work}/state")
+    run_available(_texts(read_stream(spark, f"{sf_dir}/documents.parque[t]", S.DOCUMENTS)), f"{work}/out", f"{work}/state")
     return spark.read.parquet(f"{work}/out").select("site", "phone", "type")
 
 
@@ -42,14 +45,14 @@ def q_stream_resume(spark, sf_dir):
 
 def q_stream_pages(spark, sf_dir):
     work = _work(spark)
-    pages = read_stream(spark, sf_dir, S.PAGES, "pages.parquet").withColumn("fetched_at", F.timestamp_seconds("page_id"))
+    pages = read_stream(spark, f"{sf_dir}/pages.parque[t]", S.PAGES).withColumn("fetched_at", F.timestamp_seconds("page_id"))
     run_available(page_contact_stream(pages, plan=NANP), f"{work}/out", f"{work}/state")
     return spark.read.parquet(f"{work}/out").select("site", "phone", "type")
 
 
 def _status_work(spark, sf_dir):
     work = _work(spark)
-    e = read_stream(spark, sf_dir, S.EVENTS, "events.parquet")
+    e = read_stream(spark, f"{sf_dir}/events.parque[t]", S.EVENTS)
     kind = F.when(F.col("event_type") == "view", "success").when(F.col("event_type") == "error", "error").when(
         F.col("event_type") == "click", "skip").otherwise("pending")
     log = e.select(F.col("user_id").cast("string").alias("run_id"), F.get_json_object("props", "$.k").alias("site"),
