@@ -1,4 +1,8 @@
-"""Streaming forms over the given tables as file streams."""
+"""Streaming forms over the given tables as file streams.
+
+A table may be a file or a folder, and a file stream takes a folder or a pattern: so the names
+are patterns that only the table itself fits.
+"""
 from __future__ import annotations
 
 import uuid
@@ -14,9 +18,6 @@ from workload import runs as R
 from workload.common import PLAIN_TEXT_SQL, contacts_sql, host_sql
 
 
-# A pattern that only the table itself fits: file streams take a folder or a pattern, and a table may be a file.
-
-
 def _work(spark):
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
