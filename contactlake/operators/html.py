@@ -169,9 +169,10 @@ def _with_noscript(body) -> Column:
         lambda at: ~F.exists(bs, lambda n: (at >= n["s"]) & (at < n["e"])))), F.lit(0))
 
 
-def visible_text(limit: int) -> Column:
-    kept = _with_noscript(lambda outside: F.filter("strings", lambda t, i: outside(i)))
-    return F.substring(F.array_join(kept, "\n"), 1, limit)
+def visible_text(limit: int | None = None) -> Column:
+    """Text outside noscript blocks, whole or its first ``limit`` characters."""
+    text = F.array_join(_with_noscript(lambda outside: F.filter("strings", lambda t, i: outside(i))), "\n")
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def headings(limit: int = 30) -> Column:
