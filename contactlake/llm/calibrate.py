@@ -16,14 +16,14 @@ def remainder(id_col: str, modulus: int):
     return F.crc32(F.col(id_col).cast("string")) % modulus
 
 
-def labelled(labels: DataFrame, label_col: str, held_out, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """doc_id and label (0, 1) of the rows to learn from, at most ``rows``, chosen by a hash of the id.
+def labelled(labels: DataFrame, label_col: str, held_out, rows: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and label (0, 1) of the rows to learn from; with ``rows`` at most so many, chosen by a hash of the id.
 
     Null ids or labels are left out; of repeated ids the larger label counts.
     """
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out)
              .groupBy(F.col(id_col).alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label")))
-    return highest(known, F.pmod(F.xxhash64("doc_id"), F.lit(65_536)).cast("int"), rows)
+    return known if rows is None else highest(known, F.pmod(F.xxhash64("doc_id"), F.lit(65_536)).cast("int"), rows)
 
 
 def isotonic(low: np.ndarray, total: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,8 +12,6 @@ from contactlake.llm.calibrate import fit_calibration, labelled, remainder
 from contactlake.llm.tables import highest, log_level, on_workers, stage
 from contactlake.llm.textarrays import blocks, mix, powers, string_block
 
-# Labelled rows learned from at most; 16 bytes each when they are sent to all tasks.
-FIT_ROWS = 100_000
 # Words and word beginnings kept at most, the most telling first.
 LEXICON = 65_536
 PREFIXES = (3, 4, 5, 6)
@@ -414,29 +412,29 @@ def raw_scores(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> np.ndarray
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_remainder: int = 1,
                     threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                    fit_rows: int = FIT_ROWS, lexicon_size: int = LEXICON) -> DataFrame:
+                    lexicon_size: int = LEXICON) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
-    A model of three letters is counted over the labelled texts.  With it, words that hold signs
+    A model of three letters is counted over all labelled texts.  With it, words that hold signs
     beside letters, a letter twice or letters set apart, of any length, are read anew by Viterbi over the
     readings of their characters.  Restored words and word beginnings are weighed by how much
     more often they stand in toxic rows; a row's raw score is its weightiest word and half the
-    next, calibrated on folds that the weights have not seen.  Only labels whose id has another
-    remainder than ``held_remainder`` are seen.
+    next, calibrated on folds that the weights have not seen.  Every label is learned from whose id has another
+    remainder than ``held_remainder``; the others are not seen.
 
     Null and empty texts hold no word and get the lowest score.  A null id is never held out and
     has no label; of copies one is learned from, of repeated ids every text.  Without labels every score is
     0.5.  Other columns, also ones named like these, are ignored.
     """
     rest = remainder(id_col, modulus)
-    known = stage(labelled(labels, label_col, rest == held_remainder, fit_rows, id_col)
+    known = stage(labelled(labels, label_col, rest == held_remainder, id_col=id_col)
                   .withColumn("fold", (F.floor(F.crc32(F.col("doc_id").cast("string")) / modulus) % 2).cast("int")))
     texts = on_workers(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # at most fit_rows rows of three numbers; copies of a text would make its chance words look telling
-    known = stage(texts.join(F.broadcast(known), "doc_id")
-                  .groupBy(F.xxhash64(F.coalesce("text", F.lit(""))), "label").agg(F.min_by(F.struct("doc_id", "fold"), "doc_id").alias("r"))
+    # copies of a text would make its chance words look telling; labels grow with the texts, so they are not sent to all tasks
+    known = stage(texts.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy")).join(known.hint("shuffle_hash"), "doc_id")
+                  .groupBy("copy", "label").agg(F.min_by(F.struct("doc_id", "fold"), "doc_id").alias("r"))
                   .select("r.doc_id", "r.fold", "label"))
-    fit = texts.join(F.broadcast(known), "doc_id")
+    fit = stage(texts.join(known.hint("shuffle_hash"), "doc_id").select("text", "label", "fold"))
 
     def letters(batches):
         counts = np.zeros(ALPHABET ** 3, np.int64)
@@ -477,8 +475,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_r
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([texts.cast(pa.binary()), b.column("label"), b.column("fold")], names=["text", "label", "fold"])
 
-    # at most fit_rows texts, read twice
-    restored = stage(fit.select("text", "label", "fold").mapInArrow(plain, "text BINARY, label INT, fold INT"))
+    # read twice
+    restored = stage(fit.mapInArrow(plain, "text BINARY, label INT, fold INT"))
 
     def features(batches):
         for batch in batches:
