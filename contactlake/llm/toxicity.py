@@ -12,6 +12,8 @@ from contactlake.llm.calibrate import fit_calibration, labelled, remainder
 from contactlake.llm.tables import highest, log_level, on_workers, stage
 from contactlake.llm.textarrays import blocks, mix, powers, string_block
 
+# Bytes of texts that a task works on at once: its arrays take some twenty times as much.
+BLOCK_BYTES = 1 << 20
 # Words and word beginnings kept at most, the most telling first.
 LEXICON = 65_536
 PREFIXES = (3, 4, 5, 6)
@@ -439,7 +441,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_r
     def letters(batches):
         counts = np.zeros(ALPHABET ** 3, np.int64)
         for batch in batches:
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", BLOCK_BYTES):
                 data, at = string_block(b.column("text"))
                 start, end, _ = plain_runs(data, at)
                 if not len(start):
@@ -470,7 +472,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_r
     def plain(batches):
         restore = Restorer(model)
         for batch in batches:
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", BLOCK_BYTES):
                 data, at = restore(*string_block(b.column("text")))
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([texts.cast(pa.binary()), b.column("label"), b.column("fold")], names=["text", "label", "fold"])
@@ -480,7 +482,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_r
 
     def features(batches):
         for batch in batches:
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", BLOCK_BYTES):
                 label, fold = b.column("label").to_numpy(), b.column("fold").to_numpy()
                 h, doc = word_features(*string_block(b.column("text")))
                 kind = (label * 2 + fold)[np.tile(doc, len(h))] if len(doc) else np.zeros(0, np.int64)
@@ -538,7 +540,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_r
 
     def other_fold(batches):
         for batch in batches:
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", BLOCK_BYTES):
                 block = string_block(b.column("text"))
                 both = np.stack([raw_scores(x, *block) for x in by_other])
                 raw = both[b.column("fold").to_numpy(), np.arange(b.num_rows)]
@@ -550,7 +552,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_r
     def score(batches):
         restore = Restorer(model)
         for batch in batches:
-            for b in blocks(batch, text_col):
+            for b in blocks(batch, text_col, BLOCK_BYTES):
                 raw = raw_scores(whole, *restore(*string_block(b.column(text_col))))
                 yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(curve(raw))], names=["doc_id", "score"])
 

@@ -1,6 +1,8 @@
-"""Toxicity learns from every label: words that only few labelled rows of many hold."""
+"""Toxicity learns from every label: words that only few labelled rows of many hold, and small blocks."""
 import inspect
 
+import numpy as np
+from helpers import labels
 from pyspark.sql import functions as F
 
 from contactlake.llm import toxicity
@@ -29,3 +31,15 @@ def test_every_labelled_text_is_counted(spark, monkeypatch):
     assert learned > 120_000 and [df.count() for df in staged[:4]] == [learned] * 4
     # the labels grow with the texts: they meet by a shuffle, not by a copy in every task
     assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in staged[1:3])
+
+
+def test_small_blocks_give_the_same_scores(spark, monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(3))
+    plain = ["".join(rng.choice(list("abcdefghilmnop"), 6)) for _ in range(90)]
+    rows = [(i, " ".join([*rng.choice(plain, 7), "m0r0n" if i % 12 == 0 else "moron"] if i % 6 == 0 else rng.choice(plain, 8))) for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(2)
+    marks = labels(spark, [(i, 1, int(i % 6 == 0)) for i in range(1_500)])
+    score = lambda: sorted((r.doc_id, r.score) for r in toxicity.toxicity_scores(docs, marks).collect())
+    whole = score()
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 900)
+    assert score() == whole and {s > 0.5 for _, s in whole} == {True, False}
