@@ -11,8 +11,11 @@ from __future__ import annotations
 import uuid
 from collections import OrderedDict
 from functools import reduce
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,30 +24,63 @@ from contactlake.session import stage
 # Bytes of terms (and a flat share for each row) that one automaton holds.
 LIMIT_BYTES = 16 << 20
 ROW_BYTES = 64
-_machines: OrderedDict[str, tuple] = OrderedDict()
-MACHINES_KEPT = 2
-
-
-def _machine(name: str, shared, by: tuple, term: str) -> tuple:
-    """Automaton over the distinct terms, and for each term its lexicon rows by ``by`` values."""
-    import ahocorasick
-
+# Found rows that a task holds before it hands them on.
+FOUND_ROWS = 1 << 16
+_machines: OrderedDict[str, Machine] = OrderedDict()
+
+
+class Machine:
+    """Automaton over the distinct terms, and the lexicon's rows in the order of term and ``by`` values."""
+
+    def __init__(self, table: pa.Table, by: tuple, term: str, kept: list[str]):
+        import ahocorasick
+
+        self.size = _held(table)
+        coded = table.column(term).combine_chunks().dictionary_encode()
+        words, term_of = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for lo in range(0, len(words), 4096):
+            for at, word in enumerate(words.slice(lo, 4096).to_pylist(), lo):
+                self.automaton.add_word(word, at)
+        self.automaton.make_automaton()
+        self.length = pc.utf8_length(words).to_numpy().astype(np.int64)
+        self.keys: dict[tuple, int] = {}
+        key_of = np.zeros(table.num_rows, np.int64)
+        if by:
+            for row, key in enumerate(zip(*(table.column(c).to_pylist() for c in by))):
+                key_of[row] = self.keys.setdefault(key, len(self.keys))
+        self.n_keys = max(1, len(self.keys))
+        code = term_of * self.n_keys + key_of
+        self.order = np.argsort(code, kind="stable")
+        self.code = code[self.order]
+        self.entries = table.select(kept).combine_chunks()
+
+    def find(self, text: str, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lexicon rows of one key whose term the text holds, with its place and times."""
+        met = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64)
+        at, first, times = np.unique(met[1::2], return_index=True, return_counts=True)
+        place = met[::2][first] - self.length[at] + 2
+        code = at * self.n_keys + key
+        begin = np.searchsorted(self.code, code)
+        size = np.searchsorted(self.code, code, "right") - begin
+        upto = np.cumsum(size)
+        rows = np.repeat(begin - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+        return self.order[rows], np.repeat(place, size), np.repeat(times, size)
+
+
+def _held(table: pa.Table) -> int:
+    return table.nbytes + ROW_BYTES * table.num_rows
+
+
+def _machine(name: str, shared, by: tuple, term: str, kept: list[str]) -> Machine:
+    """The machine of a lexicon, kept between tasks; together those kept hold no more terms than one may."""
     if name not in _machines:
         table = shared.value
-        keys = list(zip(*(table.column(c).to_pylist() for c in by))) if by else [()] * table.num_rows
-        automaton, owners, lengths = ahocorasick.Automaton(), [], []
-        for row, (word, key) in enumerate(zip(table.column(term).to_pylist(), keys)):
-            at = automaton.get(word, None)
-            if at is None:
-                at = len(owners)
-                automaton.add_word(word, at)
-                owners.append({})
-                lengths.append(len(word))
-            owners[at].setdefault(key, []).append(row)
-        automaton.make_automaton()
-        _machines[name] = automaton, owners, lengths
-        while len(_machines) > MACHINES_KEPT:
+        # others go before this one takes its memory
+        while _machines and sum(m.size for m in _machines.values()) + _held(table) > LIMIT_BYTES:
             _machines.popitem(last=False)
+        _machines[name] = Machine(table, by, term, kept)
+    _machines.move_to_end(name)
     return _machines[name]
 
 
@@ -107,36 +143,39 @@ def _pass(part: DataFrame, keys: list[str], by: tuple, text: str, term: str, kep
     name, names = uuid.uuid4().hex, [*keys, *kept, "place", "times"]
 
     def run(batches):
-        automaton, owners, lengths = _machine(name, shared, by, term)
-        entries = shared.value.select(kept).combine_chunks()
+        machine = _machine(name, shared, by, term, kept)
         for b in batches:
             own = list(zip(*(b.column(c).to_pylist() for c in by))) if by else None
-            row, entry, place, times = [], [], [], []
-            for i, t in enumerate(b.column(text).to_pylist()):
-                if not t:
+            found, n = [], 0
+            # one text at a time, so that what is held does not grow with the batch
+            for i, value in enumerate(b.column(text)):
+                t, key = value.as_py(), machine.keys.get(own[i]) if by else 0
+                if not t or key is None:
                     continue
-                met: dict[int, list[int]] = {}
-                for end, at in automaton.iter(t):
-                    seen = met.get(at)
-                    if seen is None:
-                        met[at] = [end, 1]
-                    else:
-                        seen[1] += 1
-                key = own[i] if by else ()
-                for at, (end, n) in met.items():
-                    for e in owners[at].get(key, ()):
-                        row.append(i)
-                        entry.append(e)
-                        place.append(end - lengths[at] + 2)
-                        times.append(n)
-            rows, found = pa.array(row, pa.int64()), entries.take(pa.array(entry, pa.int64()))
-            columns = [b.column(c).take(rows) for c in keys]
-            columns += [found.column(c).combine_chunks() if found.num_rows else pa.array([], found.schema.field(c).type) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(place, pa.int32()), pa.array(times, pa.int32())], names=names)
+                entry, place, times = machine.find(t, key)
+                if len(entry):
+                    found.append((np.full(len(entry), i), entry, place, times))
+                    n += len(entry)
+                if n >= FOUND_ROWS:
+                    yield from _found(b, keys, machine.entries, found, names)
+                    found, n = [], 0
+            yield from _found(b, keys, machine.entries, found, names)
 
     return run
 
 
+def _found(batch: pa.RecordBatch, keys: list[str], entries: pa.Table, found: list[tuple], names: list[str]):
+    if not found:
+        return
+    row, entry, place, times = (np.concatenate(f) for f in zip(*found))
+    for lo in range(0, len(row), FOUND_ROWS):
+        part = slice(lo, lo + FOUND_ROWS)
+        taken = entries.take(pa.array(entry[part]))
+        columns = [batch.column(c).take(pa.array(row[part])) for c in keys] + [c.combine_chunks() for c in taken.columns]
+        columns += [pa.array(x[part].astype(np.int32)) for x in (place, times)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def term_summary(found: DataFrame, by: list[str], term: str = "term") -> DataFrame:
     """What ``find_terms`` found, one row for each value of ``by`` (a text's key and a group).
 
