@@ -90,22 +90,23 @@ BRIEF_DEFAULTS = {
     "queries": "", "excludeDomains": "", "phoneFilter": "business", "seedDomains": "",
 }
 
+_TYPED_FIELDS = ("clientSite", "sources", "checkAlive", "maxSites", "crawlDepth", "requestDelayMs", "useProxy", "quickCrawl")
+
 
 def parse_briefs(files: DataFrame, text: str = "value") -> DataFrame:
     """Brief texts (labelled lines with fenced blocks, or JSON) -> one typed ``brief`` struct."""
     raw = F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"^\x{FEFF}", "")
-    is_json = F.trim(raw).startswith("{")
-    entries = F.regexp_extract_all(raw, F.lit(_ENTRY), F.lit(0))
-    pairs = F.transform(entries, lambda e: F.struct(
-        F.lower(F.regexp_extract(e, _ENTRY, 1)).alias("k"),
-        F.trim(F.concat(F.regexp_extract(e, _ENTRY, 2), F.regexp_extract(e, _ENTRY, 3))).alias("v")))
-    labels: dict[str, list[str]] = {}
-    for label, field in V.BRIEF_LABELS.items():
-        labels.setdefault(field, [field.lower()]).append(label.lower())
+    is_json = F.trim("_raw").startswith("{")
+    # each entry is matched once for its label and once for either form of its value, never again by itself
+    label, fenced, line = (F.regexp_extract_all("_raw", F.lit(_ENTRY), F.lit(k)) for k in (1, 2, 3))
+    field_of = {f.lower(): f for f in (*BRIEF_DEFAULTS, *_TYPED_FIELDS)} | {k.lower(): f for k, f in V.BRIEF_LABELS.items()}
+    named = F.create_map(*[F.lit(x) for kv in field_of.items() for x in kv])
+    fields = F.transform(label, lambda k: F.coalesce(F.element_at(named, F.lower(k)), F.lit("")))
+    values = F.zip_with(fenced, line, lambda a, b: F.trim(F.concat(a, b)))
 
     def given(field: str) -> Column:
-        mine = F.filter("_pairs", lambda p: p["k"].isin(*labels.get(field, [field.lower()])))
-        return F.try_element_at(mine, F.lit(-1))["v"]
+        """The last value given; both arrays stand in reverse."""
+        return F.get("_values", (F.array_position("_fields", F.lit(field)) - 1).cast("int"))
 
     def flag(field: str, default: bool) -> Column:
         low = F.lower(given(field))
@@ -123,8 +124,8 @@ def parse_briefs(files: DataFrame, text: str = "value") -> DataFrame:
         flag("checkAlive", True).alias("checkAlive"), number("maxSites", 50).alias("maxSites"),
         number("crawlDepth", 2).alias("crawlDepth"), number("requestDelayMs", 500).alias("requestDelayMs"),
         flag("useProxy", False).alias("useProxy"), flag("quickCrawl", False).alias("quickCrawl"))
-    nested = F.from_json(raw, f"STRUCT<brief: STRUCT<{S.BRIEF_FIELDS}>>")["brief"]
-    flat = F.from_json(raw, f"STRUCT<{S.BRIEF_FIELDS}>")
+    nested = F.from_json("_raw", f"STRUCT<brief: STRUCT<{S.BRIEF_FIELDS}>>")["brief"]
+    flat = F.from_json("_raw", f"STRUCT<{S.BRIEF_FIELDS}>")
     j = F.coalesce(nested, flat)
     defaults = {"checkAlive": True, "maxSites": 50, "crawlDepth": 2, "requestDelayMs": 500,
                 "useProxy": False, "quickCrawl": False}
@@ -135,7 +136,8 @@ def parse_briefs(files: DataFrame, text: str = "value") -> DataFrame:
         *[F.coalesce(F.col("_json")[f], F.lit(d)).alias(f) for f, d in defaults.items()])
     keys = [c for c in files.columns if c != text]
     return (
-        files.withColumn("_pairs", pairs).withColumn("_json", F.when(is_json, j))
+        files.withColumn("_raw", raw).withColumn("_fields", F.reverse(fields)).withColumn("_values", F.reverse(values))
+        .withColumn("_json", F.when(is_json, j))
         .withColumn("brief", F.when(is_json, from_json).otherwise(from_text))
         .withColumn("brief", F.col("brief").withField("clientSite", clean_site_input(F.col("brief.clientSite"))))
         .select(*keys, "brief")
